@@ -36,14 +36,17 @@ def token_budget(sections: DataFrame, fts: DataFrame, doc_tags: DataFrame, name:
     by_doc = tags.groupBy("_repo", "_doc").agg(F.collect_set("tag").alias("tags"))
     tagged = docs.join(by_doc, F.col("repo_id").eqNullSafe(F.col("_repo")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
 
-    def of(prefix: str):
-        own = F.transform(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.startswith(prefix)), lambda t: F.substring(t, F.lit(len(prefix) + 1), F.length(t)))
-        return F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(UNTAGGED)))
+    def part(kind: str, value, repo=F.lit(""), doc=F.lit("")):
+        return F.struct(F.lit(kind).alias("slice_kind"), value.alias("slice"), repo.alias("repo_id"), doc.alias("doc_id"))
 
+    def by_tag(kind: str, prefix: str):
+        all_tags = F.coalesce("tags", F.array().cast("array<string>"))
+        own = F.transform(F.filter(all_tags, lambda t: t.startswith(prefix)), lambda t: F.substring(t, F.lit(len(prefix) + 1), F.length(t)))
+        return F.transform(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(UNTAGGED))), lambda s: part(kind, s))
+
+    repo, doc = F.coalesce("repo_id", F.lit("")), F.coalesce("doc_id", F.lit(""))
     slices = F.concat(
-        F.array(F.struct(F.lit("document").alias("slice_kind"), F.coalesce("doc_id", F.lit("")).alias("slice"), F.coalesce("repo_id", F.lit("")).alias("repo_id"), F.coalesce("doc_id", F.lit("")).alias("doc_id"))),
-        F.array(F.struct(F.lit("repository").alias("slice_kind"), F.coalesce("repo_id", F.lit("")).alias("slice"), F.coalesce("repo_id", F.lit("")).alias("repo_id"), F.lit("").alias("doc_id"))),
-        *[F.transform(of(p), lambda s, k=k: F.struct(F.lit(k).alias("slice_kind"), s.alias("slice"), F.lit("").alias("repo_id"), F.lit("").alias("doc_id"))) for k, p in (("language", "lang-"), ("domain", "dom-"))],
+        F.array(part("document", doc, repo, doc), part("repository", repo, repo)), by_tag("language", "lang-"), by_tag("domain", "dom-")
     )
     each = tagged.select(F.explode(slices).alias("s"), "n_sections", "tokens_l2", "tokens_l3").select("s.*", "n_sections", "tokens_l2", "tokens_l3")
     return each.groupBy("slice_kind", "slice", "repo_id", "doc_id").agg(
