@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: White space that may surround a digest or a revision.
-_OUTER = r"^[\s ]+|[\s ]+$"
+_OUTER = r"^[\s\x{a0}]+|[\s\x{a0}]+$"
 
 
 def clean_text(value: Column) -> Column:
@@ -25,8 +25,14 @@ def clean_text(value: Column) -> Column:
 
 
 def clean_digest(value: Column) -> Column:
-    """A digest in lower case, without outer blanks and without ``sha256:``; null becomes ''."""
-    return clean_text(F.regexp_replace(F.lower(clean_text(value)), "^sha256:", ""))
+    """A digest in lower case, without outer blanks and without ``sha256:``; null becomes ''.
+
+    Comes as bytes, hex digits packed two to a byte, which halves what is shuffled;
+    a leading byte tells packed digests from other text, so none are mixed up.
+    """
+    text = clean_text(F.regexp_replace(F.lower(clean_text(value)), "^sha256:", ""))
+    packed = F.concat(F.unhex(F.lit("01")), F.unhex(text))
+    return F.when(text.rlike("^([0-9a-f]{2})+$"), packed).otherwise(F.concat(F.unhex(F.lit("00")), F.encode(text, "UTF-8")))
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], arrived: str, payload: Sequence[str]) -> DataFrame:
