@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.encoding import count_tokens, encode_texts
+from quern.llm.lookalikes import canonical_texts, lookalike_pairs
 from quern.llm.packing import pack
 from quern.llm.splitting import split_oversized
 from quern.llm.token_budget import token_budget
@@ -32,6 +33,16 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(current_sections(table(spark, sf_dir, "sections")).join(texts, "id"), keys, "body_l3", LIMIT, OVERLAP)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of texts that look the same without being the same."""
+    return lookalike_pairs(table(spark, sf_dir, "fts"), "id", ["body_l2", "body_l3"])
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one consistent form of every text."""
+    return canonical_texts(table(spark, sf_dir, "fts"), "id", ["body_l2", "body_l3"])
+
+
 def p4_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens by document, repository, language and domain."""
     return token_budget(*(table(spark, sf_dir, t) for t in ("sections", "fts", "doc_tags")))
@@ -48,6 +59,6 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sized, "doc_id", "tokens", CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_budget, p6_ids, p7_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_canonical, p4_budget, p6_ids, p7_containers)}
 
 ORACLE: dict[str, str] = {}
