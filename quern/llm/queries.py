@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm.encoding import count_tokens, encode_texts
 from quern.llm.lookalikes import canonical_texts, lookalike_pairs
 from quern.llm.packing import pack
+from quern.llm.reading import reading_bands
 from quern.llm.splitting import split_oversized
 from quern.llm.token_budget import token_budget
 from quern.operators.snapshots import current_sections
@@ -59,6 +60,11 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sized, "doc_id", "tokens", CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_canonical, p4_budget, p6_ids, p7_containers)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading band of every document with running prose."""
+    return reading_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_canonical, p4_budget, p6_ids, p7_containers, p8_found)}
 
 ORACLE: dict[str, str] = {}
