@@ -9,6 +9,7 @@ from quern.llm.encoding import count_tokens, encode_texts
 from quern.llm.lookalikes import canonical_texts, lookalike_pairs
 from quern.llm.packing import pack
 from quern.llm.reading import reading_bands
+from quern.llm.scans import repair_scans, scan_noise
 from quern.llm.splitting import split_oversized
 from quern.llm.token_budget import token_budget
 from quern.operators.snapshots import current_sections
@@ -34,6 +35,19 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(current_sections(table(spark, sf_dir, "sections")).join(texts, "id"), keys, "body_l3", LIMIT, OVERLAP)
 
 
+_SCAN_TABLES = ("sections", "fts", "pdf_pages", "page_furniture", "unit_spans")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scanning left in the sections' texts."""
+    return scan_noise(*(table(spark, sf_dir, t) for t in _SCAN_TABLES))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections' texts, repaired."""
+    return repair_scans(*(table(spark, sf_dir, t) for t in _SCAN_TABLES))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of texts that look the same without being the same."""
     return lookalike_pairs(table(spark, sf_dir, "fts"), "id", ["body_l2", "body_l3"])
@@ -65,6 +79,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_canonical, p4_budget, p6_ids, p7_containers, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_canonical, p4_budget, p6_ids, p7_containers, p8_found)}
 
 ORACLE: dict[str, str] = {}
