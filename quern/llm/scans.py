@@ -122,6 +122,15 @@ def header_forms(line: str) -> set[str]:
     return {f for f in forms if len(f) >= 4}
 
 
+def masks(line: str) -> list[str]:
+    """A short line's folded forms without one of its words and with all numbers alike.
+
+    Running lines of different documents that differ in a name only share one.
+    """
+    words = [re.sub(r"\d+", "0", w) for w in regex.findall(r"[\p{L}\p{M}\p{N}]+", look(line))]
+    return [f for f in {fold(" ".join(words[:i] + words[i + 1 :])) for i in range(len(words))} if len(f) >= 4] if 2 <= len(words) <= 8 else []
+
+
 def repeats_header(line: str, headers: set[str]) -> bool:
     """Whether a line is one of the running lines, misread or not."""
     forms = header_forms(line)
@@ -331,12 +340,13 @@ def running_lines(pages: DataFrame, furniture: DataFrame) -> DataFrame:
     """For every scanned document ``repo_id, doc_id, headers, shift, first_page, last_page``.
 
     ``headers`` are folded running lines: those recognised on a page, those at the
-    edge of two pages or more, and, in documents of up to three pages, those that
-    share their words. ``shift`` is what most pages' printed numbers differ by from
-    their place. Lines are counted before any list is built, so a document of very
-    many pages costs one row for each line that differs.
+    edge of two pages or more, and those at one edge that differ from running lines
+    of two other documents in one word and numbers only. ``shift`` is what most
+    pages' printed numbers differ by from their place. Lines are counted before any
+    list is built, so a document of very many pages costs one row for each line that
+    differs.
     """
-    schema = "repo_id string, doc_id string, page int, seen boolean, form string, words array<string>, shift int"
+    schema = "repo_id string, doc_id string, page int, seen boolean, form string, masks array<string>, shift int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,25 +357,23 @@ def running_lines(pages: DataFrame, furniture: DataFrame) -> DataFrame:
                     if page is not None:
                         out.append((repo, doc, page, seen, None, None, number[0] - page))
                 elif seen or (len(line) <= 80 and line.rstrip()[-1] not in ".,;:!?"):
-                    words = [fold(w) for w in regex.findall(r"[\p{L}\p{M}]{3,}", line)]
-                    out += [(repo, doc, page, seen, form, words, None) for form in header_forms(line)]
+                    alike = masks(line)
+                    out += [(repo, doc, page, seen, form, alike, None) for form in header_forms(line)]
             kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.int32()]
             columns = list(zip(*out)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["repo_id", "doc_id", "page", "seen", "form", "words", "shift"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["repo_id", "doc_id", "page", "seen", "form", "masks", "shift"])
 
     doc = ["repo_id", "doc_id"]
     marks = materialise(_edges(pages, furniture).mapInArrow(run, schema), "edges")
-    forms = marks.where("form IS NOT NULL").groupBy(*doc, "form").agg(F.countDistinct("page").alias("n"), F.max("seen").alias("seen"), F.first("words").alias("words"))
-    extent = pages.groupBy(*doc).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count_distinct("page").alias("n_pages"))
+    forms = marks.where("form IS NOT NULL").groupBy(*doc, "form").agg(F.countDistinct("page").alias("n"), F.max("seen").alias("seen"), F.max("masks").alias("masks"))
+    extent = pages.groupBy(*doc).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
     sure = forms.where("seen OR n > 1")
-    short = forms.where("NOT seen AND n = 1").join(extent.where("n_pages <= 3").select(*doc), doc, "left_semi")
-    known_words = sure.select(*doc, F.explode("words").alias("word")).distinct().groupBy(*doc).agg(F.collect_set("word").alias("known"))
-    shared = F.size(F.array_intersect("words", "known"))
-    alike = short.join(known_words, doc).where((shared >= 1) & (shared * 2 >= F.size("words")) & (F.size("words") <= 8))
-    headers = sure.select(*doc, "form").unionByName(alike.select(*doc, "form")).groupBy(*doc).agg(F.collect_set("form").alias("headers"))
+    templates = sure.select(*doc, F.explode("masks").alias("mask")).distinct().groupBy("mask").agg(F.count("*").alias("docs")).where("docs > 1").select("mask")
+    once = forms.where("NOT seen AND n = 1").select(*doc, "form", F.explode("masks").alias("mask")).join(templates, "mask", "left_semi")
+    headers = sure.select(*doc, "form").unionByName(once.select(*doc, "form")).groupBy(*doc).agg(F.collect_set("form").alias("headers"))
     shifts = marks.where("shift IS NOT NULL").groupBy(*doc, "shift").agg(F.countDistinct("page").alias("n"))
     shifts = shifts.groupBy(*doc).agg(F.max_by("shift", F.struct("n", (-F.abs("shift")).alias("near"), "shift")).alias("shift"))
-    return extent.drop("n_pages").join(headers, doc, "left").join(shifts, doc, "left")
+    return extent.join(headers, doc, "left").join(shifts, doc, "left")
 
 
 def scanned_sections(sections: DataFrame, pages: DataFrame, furniture: DataFrame, spans: DataFrame) -> DataFrame:
@@ -546,7 +554,7 @@ def decode_lines(parsed: DataFrame, grams: DataFrame, lexicon: Lexicon, total: i
                     if not w["suspect"]:
                         continue
                     _, n, changed = own[at][chosen]
-                    if w["broken"] and not n and w["broken"] == "-" and _suspended(w["forms"], head, total):
+                    if w["broken"] and not n and w["broken"] == "-" and _suspended(w["forms"], head):
                         continue
                     out.append((i, line, at, chosen, bool(w["broken"]), changed))
             columns = list(zip(*out)) or [[]] * 6
@@ -556,10 +564,14 @@ def decode_lines(parsed: DataFrame, grams: DataFrame, lexicon: Lexicon, total: i
     return full.join(counted, ["id", "line"], "left").mapInArrow(run, T.StructType([key, *T.StructType.fromDDL("line int, at int, word string, broken boolean, changed boolean")]))
 
 
-def _suspended(forms: list[str], head: dict[str, int], total: int) -> bool:
-    """Whether a line's last hyphen stands for a word's omitted half, as in pre- and post-: what follows is a very common word."""
-    hyphened = forms[-1]
-    return any(head.get(hyphened[i + 1 :], 0) > total / 500 for i, c in enumerate(hyphened) if c == "-")
+def _suspended(forms: list[str], head: dict[str, int]) -> bool:
+    """Whether a line's last hyphen stands for a word's omitted half, as in pre- and post-.
+
+    So it is if the corpus knows what follows as a word of its own, but not the two together.
+    """
+    joined, hyphened = forms[0], forms[-1]
+    cut = next((i for i, (a, b) in enumerate(zip(joined, hyphened)) if a != b), len(joined))
+    return head.get(hyphened[cut + 1 :], 0) >= 10 * SEEN
 
 
 def _stages(sections: DataFrame, fts: DataFrame, pages: DataFrame, furniture: DataFrame, spans: DataFrame, head: int):
@@ -589,6 +601,10 @@ def scan_noise(sections: DataFrame, fts: DataFrame, pages: DataFrame, furniture:
 
 
 def _cased(word: str, like: str) -> str:
+    """A word in the letter case of another, part by part where hyphens divide both alike."""
+    parts, models = word.split("-"), like.split("-")
+    if len(parts) == len(models) > 1:
+        return "-".join(map(_cased, parts, models))
     letters = [c for c in like if c.isalpha()]
     if len(letters) > 1 and all(c.isupper() for c in letters):
         return word.upper()
