@@ -34,7 +34,7 @@ from quern.session import materialise
 CONFUSIONS = (
     ("m", "rn"), ("n", "ri"), ("u", "ii"), ("ü", "ii"), ("w", "vv"), ("d", "cl"), ("h", "b"), ("li", "h"),
     ("e", "c"), ("i", "l"), ("l", "1"), ("i", "1"), ("o", "0"), ("s", "5"), ("g", "9"), ("t", "f"), ("b", "6"), ("é", "6"),
-    ("ả", "å"), ("á", "å"), ("ó", "6"), ("z", "2"), ("b", "8"), ("q", "9"),
+    ("rn", "m"), ("ó", "6"), ("ô", "6"), ("ả", "å"), ("á", "å"), ("ấ", "â'"), ("ế", "ê'"), ("ố", "ô'"), ("z", "2"), ("b", "8"), ("q", "9"),
 )
 #: Confusions in one word that are undone at most.
 DEPTH = 2
