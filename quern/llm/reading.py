@@ -8,12 +8,13 @@ bands that readers gave to a sample.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,9 @@ BANDS = (1, 2, 3, 4)
 LANGUAGES = {"en": ("en", "eng"), "vi": ("vi", "vie"), "de": ("de", "deu", "ger"), "fr": ("fr", "fra", "fre")}
 FEATURES = ("rank_0", "rank_1", "sentence", "letters")
 
+#: Stands for a rank that isn't known.
+_UNKNOWN = np.iinfo(np.int64).max
+
 _FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
 _ITEM = re.compile(r"(?:[-*+•]|\d+[.)])\s+")
 _HEADING = re.compile(r"#{1,6}(?:\s|$)")
@@ -146,41 +150,58 @@ def with_language(profile: DataFrame, head: int = HEAD) -> DataFrame:
     documents are of one unknown language.
     """
     known = _head(with_ranks(_word_counts(profile, "declared")), head)
-    totals = {code: sum(n for n, _ in words.values()) for code, words in known.items()}
-    logs: dict[str, dict[str, float]] = {}
-    for code, words in sorted(known.items()):
-        unseen = math.log(0.1 / (totals[code] + 1000))
-        for word, (n, _) in words.items():
-            logs.setdefault(word, {})[code] = math.log((n + 0.1) / (totals[code] + 1000)) - unseen
-    unseen_of = {code: math.log(0.1 / (totals[code] + 1000)) for code in sorted(known)}
-    sent = profile.sparkSession.sparkContext.broadcast((logs, unseen_of))
+    codes = sorted(known)
+    place = {word: i for i, word in enumerate(sorted(set().union(*known.values())))}
+    totals = np.array([sum(n for n, _ in known[c].values()) for c in codes]) + 1000.0
+    counts = np.full((len(place) + 1, len(codes)), 0.1)
+    for k, code in enumerate(codes):
+        for word, (n, _) in known[code].items():
+            counts[place[word], k] += n
+    sent = profile.sparkSession.sparkContext.broadcast((codes or ["und"], pa.array(place, pa.string()), np.log(counts / totals) if codes else np.zeros((1, 1))))
     schema = T.StructType([profile.schema["doc_id"], T.StructField("language", T.StringType()), *[profile.schema[c] for c in ("n_words", "sentences", "letters", "words", "counts")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, unseen = sent.value
+        codes, vocabulary, logs = sent.value
         for batch in batches:
-            codes = []
-            for words, counts, total in zip(*(batch.column(c).to_pylist() for c in ("words", "counts", "n_words"))):
-                score = {code: total * x for code, x in unseen.items()}
-                for word, n in zip(words, counts):
-                    for code, x in logs.get(word, {}).items():
-                        score[code] += n * x
-                codes.append(max(score, key=score.get) if score else "und")
+            at, n, starts = _words(batch, vocabulary)
+            scores = np.add.reduceat(logs[at] * n[:, None], starts) if len(starts) else np.zeros((0, len(codes)))
+            best = np.array(codes, object)[scores.argmax(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(codes, pa.string()), *(batch.column(c) for c in schema.names[2:])], names=schema.names
+                [batch.column("doc_id"), pa.array(best, pa.string()), *(batch.column(c) for c in schema.names[2:])], names=schema.names
             )
 
     return profile.mapInArrow(run, schema)
 
 
-def coverage_rank(ranks: list[tuple[int, int]], total: int, share: float) -> int | None:
-    """The least rank up to which the words of ``(rank, count)``, in order of rank, make up the share."""
-    need, covered = share * total, 0
-    for rank, n in ranks:
-        covered += n
-        if covered >= need:
-            return rank
-    return None
+def _words(batch: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a batch's rows end to end: place in the vocabulary (its size if absent), count, and where each row starts.
+
+    Every row has words.
+    """
+    words, counts = batch.column("words"), batch.column("counts")
+    at = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary), len(vocabulary)).to_numpy(zero_copy_only=False)
+    starts = np.diff(words.offsets.to_numpy()).cumsum()
+    return at, counts.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], starts[:-1]]).astype(np.int64) if len(starts) else starts
+
+
+def coverage_ranks(ranks: np.ndarray, counts: np.ndarray, starts: np.ndarray, shares: tuple[float, ...]) -> list[np.ndarray]:
+    """For each share and row, the least rank up to which the row's words make it up.
+
+    ``ranks`` and ``counts`` hold the words of all rows end to end. A rank of the
+    greatest integer stands for a word of unknown rank, and comes out where the known ones don't suffice.
+    """
+    if not len(starts):
+        return [np.zeros(0, np.int64) for _ in shares]
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ranks))))
+    order = np.lexsort((ranks, row))
+    ranks, counts = ranks[order], counts[order]
+    totals = np.add.reduceat(counts, starts)
+    covered = counts.cumsum() - np.repeat(np.append(0, totals.cumsum()[:-1]), np.diff(np.append(starts, len(ranks))))
+    out = []
+    for share in shares:
+        enough = covered >= (share * totals)[row]
+        out.append(np.minimum.reduceat(np.where(enough, ranks, _UNKNOWN), starts))
+    return out
 
 
 def coverage(profile: DataFrame, head: int = HEAD, shares: tuple[float, ...] = SHARES) -> DataFrame:
@@ -190,21 +211,27 @@ def coverage(profile: DataFrame, head: int = HEAD, shares: tuple[float, ...] = S
     joins the whole vocabulary, which gives the same ranks.
     """
     ranked = materialise(with_ranks(_word_counts(profile, "language")), "ranks")
-    sent = profile.sparkSession.sparkContext.broadcast({code: {w: r for w, (_, r) in words.items()} for code, words in _head(ranked, head).items()})
+    known = _head(ranked, head)
+    place = {word: i for i, word in enumerate(sorted(set().union(*known.values())))}
+    codes = {code: k for k, code in enumerate(sorted(known))}
+    table = np.full((max(1, len(codes)), len(place) + 1), _UNKNOWN)
+    for code, words in known.items():
+        for word, (_, rank) in words.items():
+            table[codes[code], place[word]] = rank
+    sent = profile.sparkSession.sparkContext.broadcast((codes, pa.array(place, pa.string()), table))
     names = [f"rank_{i}" for i in range(len(shares))]
     kept = ["doc_id", "language", "n_words", "sentences", "letters"]
     schema = T.StructType([*(profile.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        codes, vocabulary, table = sent.value
         for batch in batches:
-            out = [[] for _ in shares]
-            for code, words, counts, total in zip(*(batch.column(c).to_pylist() for c in ("language", "words", "counts", "n_words"))):
-                own = known.get(code, {})
-                ranks = sorted((own[w], n) for w, n in zip(words, counts) if w in own)
-                for column, share in zip(out, shares):
-                    column.append(coverage_rank(ranks, total, share))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, pa.int64()) for c in out)], names=schema.names)
+            at, n, starts = _words(batch, vocabulary)
+            language = np.array([codes.get(c, 0) for c in batch.column("language").to_pylist()], np.int64)
+            sizes = np.diff(np.append(starts, len(at)))
+            found = coverage_ranks(table[np.repeat(language, sizes), at], n, starts, shares)
+            columns = [pa.array(r, pa.int64(), mask=r == _UNKNOWN) for r in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=schema.names)
 
     done = materialise(profile.mapInArrow(run, schema), "coverage")
     missing = F.greatest(*[F.col(n).isNull() for n in names])
