@@ -1 +1 @@
-
+"""Column functions over text, vectors and ids."""
