@@ -16,7 +16,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
@@ -60,13 +60,14 @@ _ITEM = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]")
 _ROMAN = re.compile(r"(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
 
 _FOLDS = [(seen, real) for real, seen in (("m", "rn"), ("n", "ri"), ("u", "ii"), ("w", "vv"), ("d", "cl"), ("h", "li"))]
+_DIGITS = str.maketrans({"1": "l", "6": "b"})
 _FOLDED = str.maketrans({"1": "l", "i": "l", "0": "o", "5": "s", "9": "g", "6": "b", "8": "b", "c": "e", "f": "t", "h": "b", "2": "z", "é": "b"})
 
 
 def fold(line: str) -> str:
     """A line without blanks, signs and letter case, and with characters that are confused made equal."""
     text = regex.sub(r"[^\p{L}\p{N}]+", "", unicodedata.normalize("NFC", look(line)).lower())
-    text = text.translate(str.maketrans({"1": "l", "6": "b"}))
+    text = text.translate(_DIGITS)
     for seen, real in _FOLDS:
         text = text.replace(seen, real)
     return text.translate(_FOLDED)
@@ -127,8 +128,11 @@ def masks(line: str) -> list[str]:
 
     Running lines of different documents that differ in a name only share one.
     """
-    words = [re.sub(r"\d+", "0", w) for w in regex.findall(r"[\p{L}\p{M}\p{N}]+", look(line))]
-    return [f for f in {fold(" ".join(words[:i] + words[i + 1 :])) for i in range(len(words))} if len(f) >= 4] if 2 <= len(words) <= 8 else []
+    words = regex.findall(r"[\p{L}\p{M}\p{N}]+", look(line))
+    if not 2 <= len(words) <= 8:
+        return []
+    folded = [fold(re.sub(r"\d+", "0", w)) for w in words]
+    return [f for f in {"".join(folded[:i] + folded[i + 1 :]) for i in range(len(words))} if len(f) >= 4]
 
 
 def repeats_header(line: str, headers: set[str]) -> bool:
@@ -144,6 +148,15 @@ def repeats_header(line: str, headers: set[str]) -> bool:
     return False
 
 
+def _may_repeat(line: str, headers: set[str]) -> bool:
+    """Whether a line's length fits one of the headers, with a page number and signs besides.
+
+    Folding takes no more than half of the letters away.
+    """
+    letters = len(re.sub(r"[\W_]+", "", line))
+    return any(len(h) - 2 <= letters <= 2 * len(h) + 8 for h in headers)
+
+
 @dataclass
 class Line:
     """A line of a section: ``text`` carries the running text, all other kinds but noise stay as they are."""
@@ -177,6 +190,7 @@ def classify(text: str, headers: set[str], numbers: set[int] | None) -> list[Lin
     """
     raw = _NEWLINE.split(text)
     lines, fenced = [], False
+    longest = 2 * max(map(len, headers), default=-10) + 20
     found = [None if not 0 < len(t.strip()) <= 30 else page_number(t) for t in raw]
     for i, line in enumerate(raw):
         bare = line.strip()
@@ -191,7 +205,7 @@ def classify(text: str, headers: set[str], numbers: set[int] | None) -> list[Lin
             lines.append(Line("table" if bare[0] == "|" else "heading", line))
         elif (n := found[i]) is not None and _own_number(n, numbers, i, found):
             lines.append(Line("page_number", line))
-        elif len(bare) <= 120 and headers and repeats_header(line, headers):
+        elif len(bare) <= longest and _may_repeat(bare, headers) and repeats_header(line, headers):
             lines.append(Line("header", line))
         else:
             lines.append(Line("item" if _ITEM.match(line) else "text", line))
@@ -206,30 +220,32 @@ def _own_number(n: tuple[int, bool], numbers: set[int] | None, at: int, found: l
     return not plain or (0 < value < 2000 and not any(x and x[1] for x in near))
 
 
-def words_of(lines: list[Line]) -> list[list[Word]]:
+def words_of(lines: list[Line], passed: Callable[[str], bool] | None = None) -> list[list[Word]]:
     """The words of the running text by logical line, broken ones put together.
 
     A word is broken where a line ends in a sign for it and the next line of the same
-    paragraph, past page numbers and running lines, goes on with a letter.
+    paragraph, past page numbers and running lines, goes on with a letter. Lines
+    without broken words whose text is ``passed`` are left out.
     """
     out: list[list[Word]] = []
     skip: dict[int, int] = {}
     for i, line in enumerate(lines):
         if line.kind not in ("text", "item"):
             continue
-        text = line.text
-        words = [Word(i, m.start(), m.end(), m[0]) for m in _WORD.finditer(text) if m.start() >= skip.get(i, 0)]
-        last = _LAST.search(text)
+        text, start = line.text, skip.get(i, 0)
+        last = _LAST.search(text) if text.rstrip()[-1] in BREAKS else None
         j = _continues(lines, i) if last else -1
-        if j >= 0:
-            first = _FIRST.match(lines[j].text)
-            if first and not first[1][0].isdigit() and not last[1][-1].isdigit() or (first and _letters(last[1] + first[1])):
-                a, b = last[1], first[1]
-                words = [w for w in words if w.end <= last.start() or w.start >= last.end()]
-                words = [w for w in words if w.start < last.start()]
-                own = (a + b, f"{a}-{b}")
-                words.append(Word(i, last.start(), last.end(2), a + b, own, j, first.end(), last[2] + ("" if text.endswith(last[2]) else " ")))
-                skip[j] = first.end()
+        first = _FIRST.match(lines[j].text) if j >= 0 else None
+        if first and (first[1][0].isdigit() or last[1][-1].isdigit()) and not _letters(last[1] + first[1]):
+            first = None
+        if first is None and passed and passed(text[start:]):
+            continue
+        words = [Word(i, m.start(), m.end(), m[0]) for m in _WORD.finditer(text) if m.start() >= start]
+        if first:
+            a, b = last[1], first[1]
+            words = [w for w in words if w.start < last.start()]
+            words.append(Word(i, last.start(), last.end(2), a + b, (a + b, f"{a}-{b}"), j, first.end(), last[2] + ("" if text.endswith(last[2]) else " ")))
+            skip[j] = first.end()
         out.append(words)
     return out
 
@@ -278,24 +294,28 @@ def candidates(word: str, depth: int = DEPTH) -> dict[str, tuple[int, ...]]:
     return found
 
 
-class Lexicon:
-    """The most frequent words with their counts, and what they tell about a word."""
+class Lexicon(dict):
+    """The most frequent words with their counts, and for each word whether it is safe.
+
+    A word is safe if it is frequent and can't have been another, still more frequent
+    one. The dictionary remembers the answers.
+    """
 
-    def __init__(self, head: dict[str, int], rates: list[float] | None = None):
+    def __init__(self, head: dict[str, int]):
+        super().__init__()
         self.head = head
-        self.cost = [-math.log(r) for r in (rates or [PRIOR] * len(CONFUSIONS))]
-        self.safe: dict[str, bool] = {}
 
-    def is_safe(self, word: str) -> bool:
-        """Whether a frequent word can't have been another, still more frequent one."""
-        known = self.safe.get(word)
-        if known is None:
-            if len(self.safe) > 500_000:
-                self.safe.clear()
-            own = self.head.get(word, 0)
-            known = own >= SEEN and not any(self.head.get(c, 0) * PRIOR ** len(k) > own for c, k in candidates(word).items() if k)
-            self.safe[word] = known or not any(c.isalpha() for c in word)
-        return self.safe[word]
+    def __missing__(self, word: str) -> bool:
+        own = self.head.get(word, 0)
+        known = own >= SEEN and not any(self.head.get(c, 0) * PRIOR ** len(k) > own for c, k in candidates(word).items() if k)
+        self[word] = known = known or not any(c.isalpha() for c in word)
+        return known
+
+    def passes(self, text: str) -> bool:
+        """Whether all words of a text are safe."""
+        if len(self) > 500_000:
+            self.clear()
+        return all(map(self.__getitem__, _WORD.findall(plain(text))))
 
 
 def viterbi(line: list[list[tuple[str, float]]], unigram: dict[str, int], pairs: dict[tuple[str, str], int], total: int) -> list[str]:
@@ -398,12 +418,15 @@ def corpus_grams(texts: DataFrame, scanned: str, noisy: str, clean: Iterable[str
     clean = list(clean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        single: Counter = Counter()
+        pairs: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            a, b = zip(*counts) if counts else ((), ())
-            made = pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(counts.values(), pa.int64())], names=["a", "b", "n"])
-            counts.clear()
+            a, b = zip(*pairs) if pairs else ((), ())
+            columns = [[*single, *a], [*[None] * len(single), *b], [*single.values(), *pairs.values()]]
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["a", "b", "n"])
+            single.clear()
+            pairs.clear()
             return made
 
         for batch in batches:
@@ -413,9 +436,9 @@ def corpus_grams(texts: DataFrame, scanned: str, noisy: str, clean: Iterable[str
                 for text in column:
                     if text:
                         words = _WORD.findall(plain(text))
-                        counts.update((w, None) for w in words)
-                        counts.update(zip(words, words[1:]))
-                if len(counts) > 500_000:
+                        single.update(words)
+                        pairs.update(zip(words, words[1:]))
+                if len(single) + len(pairs) > 500_000:
                     yield flush()
         yield flush()
 
@@ -453,14 +476,13 @@ def parse_sections(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
             for i, body, headers, low, high in zip(*(batch.column(c).to_pylist() for c in ("id", "body_l3", "headers", "low", "high"))):
                 lines = classify(body, set(headers), set(range(low, high + 1)) if low is not None and high is not None else None)
                 out += [(i, line.kind, at, "", None) for at, line in enumerate(lines) if line.kind in ("header", "page_number")]
-                size = 0
-                for words in words_of(lines):
-                    size += len(words)
+                size = sum(line.text.count(" ") + 1 for line in lines if line.kind in ("text", "item"))
+                for words in words_of(lines, known.passes):
                     entries, odd = [], False
                     for w in words:
                         forms = _forms(w)
                         best = _broken_form(forms, known.head)
-                        suspect = not known.is_safe(best)
+                        suspect = not known[best]
                         odd |= suspect
                         if w.forms and not suspect:
                             out.append((i, "broken", w.line, best, None))
