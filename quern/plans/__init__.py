@@ -1,8 +1,8 @@
 """Queries over the engine's operators, and the SQL they must equal."""
 
-from quern.plans import search_queries, snapshot_queries, store_queries
+from quern.plans import more_queries, search_queries, snapshot_queries, store_queries
 
-_MODULES = [search_queries, snapshot_queries, store_queries]
+_MODULES = [search_queries, snapshot_queries, store_queries, more_queries]
 
 
 def queries() -> dict:

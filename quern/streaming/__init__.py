@@ -1 +1 @@
-
+"""Incremental and stateful operators."""
