@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,16 +22,27 @@ def _relative(path: Column, root: str) -> Column:
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """``path, size, modified`` of all files below ``root``; contents are not read."""
+    """``path, size, modified`` of all files below ``root`` whose names don't start with ``_`` or a dot; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select(_relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def entries(files: DataFrame) -> DataFrame:
-    """``repo_id`` of every folder that holds both of an entry's files; the id is the folder's path."""
-    folder, name = F.regexp_extract("path", r"^(.*)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)$", 1)
-    own = files.select(folder.alias("repo_id"), name.alias("name")).where(F.col("name").isin(*ENTRY_FILES) & (F.col("repo_id") != ""))
-    return own.groupBy("repo_id").agg(F.count_distinct("name").alias("n")).where(F.col("n") == len(ENTRY_FILES)).select("repo_id")
+def entries(spark: SparkSession, root: str, depth: int = 4) -> DataFrame:
+    """``repo_id`` of every folder, up to ``depth`` below ``root``, that holds both of an entry's files; the id is its path.
+
+    Spark's own listing passes over names that start with ``_``, so folders are found
+    by glob; only entries' files are looked up, a few for each repository.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for name in ENTRY_FILES:
+        own = set()
+        for level in range(1, depth + 1):
+            for status in store.globStatus(path(root, "/".join(["*"] * level) + f"/{name}")) or ():
+                own.add(re.sub(r"^[a-z0-9]+:/+", "/", status.getPath().getParent().toString())[len(root.rstrip("/")) + 1 :])
+        found.append(own)
+    return spark.createDataFrame([(r,) for r in sorted(set.intersection(*found))], "repo_id string")
 
 
 def owned(files: DataFrame, repos: DataFrame) -> DataFrame:
@@ -62,7 +75,7 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
 
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     """``path, text`` of all Markdown files, a row a file."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return files.select(_relative(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("text"))
 
 

@@ -12,6 +12,6 @@ from quern.session import make_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = make_session("local[4]", 4, **{"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
+    session = make_session("local[8]", 2, **{"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     return session
