@@ -235,11 +235,11 @@ def coverage(profile: DataFrame, head: int = HEAD, shares: tuple[float, ...] = S
 
     done = materialise(profile.mapInArrow(run, schema), "coverage")
     missing = F.greatest(*[F.col(n).isNull() for n in names])
-    rest = profile.join(done.where(missing).select("doc_id").distinct(), "doc_id", "left_semi")
-    pairs = rest.select(*kept, F.explode(F.arrays_zip("words", "counts")).alias("e")).select(*kept, F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
+    rest = profile.join(done.where(missing).select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_text", F.xxhash64("words", "counts"))
+    pairs = rest.dropDuplicates([*kept, "_text"]).select(*kept, "_text", F.explode(F.arrays_zip("words", "counts")).alias("e")).select(*kept, "_text", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
     met = pairs.join(ranked.select("language", "word", "rank"), ["language", "word"])
     by_rank = F.sort_array(F.collect_list(F.struct("rank", "n")))
-    steps = met.groupBy(*kept).agg(by_rank.alias("r"))
+    steps = met.groupBy(*kept, "_text").agg(by_rank.alias("r"))
 
     def reached(share: float):
         sums = F.transform("r", lambda x, i: F.struct(F.aggregate(F.slice("r", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("n"), x["rank"].alias("rank")))

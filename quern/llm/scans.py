@@ -524,7 +524,8 @@ def decode_lines(parsed: DataFrame, grams: DataFrame, lexicon: Lexicon, total: i
     """``id, line, at, word, broken, changed`` for each suspicious word, decoded in its line.
 
     ``changed`` tells a misread word. Words that the corpus gives no reading for stay
-    as they are; if broken, they are joined.
+    as they are; if broken, they are joined. Pairs with a word that was hardly ever
+    seen tell nothing: a mirrored section would vouch for its own misread words.
     """
     lines = parsed.where("kind = 'line'").select("id", "line", "words")
     sizes = parsed.where("kind = 'size'").agg(F.sum("line")).collect()[0][0] or 0
@@ -571,7 +572,8 @@ def decode_lines(parsed: DataFrame, grams: DataFrame, lexicon: Lexicon, total: i
             for i, line, words, found, pairs in zip(*(batch.column(c).to_pylist() for c in ("id", "line", "words", "found", "pairs"))):
                 own = choices(words, found, cost)
                 unigram = {w: n or head.get(w, 0) for c in own for w, (_, n, _) in c.items()}
-                path = viterbi([[(w, p) for w, (p, _, _) in c.items()] for c in own], unigram, {(p["a"], p["b"]): p["n"] for p in pairs or ()}, total)
+                seen = {(p["a"], p["b"]): p["n"] for p in pairs or () if min(unigram.get(p["a"], 0), unigram.get(p["b"], 0)) >= SEEN}
+                path = viterbi([[(w, p) for w, (p, _, _) in c.items()] for c in own], unigram, seen, total)
                 for at, (w, chosen) in enumerate(zip(words, path)):
                     if not w["suspect"]:
                         continue
