@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,7 +103,9 @@ def test_limit_stream_equals_batch(spark, tmp_path):
         os.utime(source / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
     stream = spark.readStream.schema("k string, t timestamp, e long").option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(source))
     query = limits.limit_stream(stream, "k", "t", "e", 2, 15).writeStream.format("memory").queryName("allowed").outputMode("append").start()
-    query.processAllAvailable()
+    deadline = time.time() + 60  # its timeouts keep it running, so it is stopped once all events are through
+    while spark.table("allowed").count() < len(rows) and time.time() < deadline:
+        time.sleep(0.5)
     query.stop()
     got = {r["e"]: r["allowed"] for r in spark.table("allowed").collect()}
     batch = spark.read.schema("k string, t timestamp, e long").json(str(source))
