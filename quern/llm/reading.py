@@ -34,6 +34,8 @@ HEAD = 50_000
 SAMPLE = 200_000
 #: Bands of a language that fewer labelled documents than this have are calibrated over all languages.
 LEAST_LABELS = 3
+#: Labels of a band that agree with the fit before, from which its features are taken for correlated; and how often that is fitted again.
+LEAST_AGREEING, REFITS = 15, 3
 #: The least spread of a feature, in logarithms.
 LEAST_SPREAD = 0.05
 BANDS = (1, 2, 3, 4)
@@ -263,12 +265,16 @@ def majority_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def calibrate(described: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``language, reading_band`` with the median and spread of each feature, robust to wrong labels.
-
-    Has at most a row for each language and band. Bands with too few labels in a
-    language take the figures over all languages, and a band nobody gave is absent.
+    """``language, cells``: for each band its number, the middle of its features, their precision and a constant.
+
+    First each band's features are fitted one by one by medians, which wrong labels
+    hardly move. Then, a few times, labels that disagree with the fit are left out and
+    means and covariances are fitted to the rest. All statistics are taken in SQL; the
+    driver gets a row for each language and band and inverts matrices of four by four.
+    Bands with too few labels in a language take the figures over all languages, and a
+    band nobody gave is absent.
     """
-    known = described.join(majority_labels(labels, sample), "doc_id")
+    known = materialise(described.join(majority_labels(labels, sample), "doc_id"), "labelled")
 
     def spread(by: list[str]) -> DataFrame:
         middle = known.groupBy(*by).agg(F.count("*").alias("n"), *[F.median(f).alias(f"{f}_m") for f in FEATURES])
@@ -276,12 +282,54 @@ def calibrate(described: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         widths = [F.greatest(F.col(f"{f}_s") * 1.4826, F.lit(LEAST_SPREAD)).alias(f"{f}_s") for f in FEATURES]
         return middle.join(off, by).select(*by, "n", *[f"{f}_m" for f in FEATURES], *widths)
 
-    cells = described.select("language").distinct().withColumn("reading_band", F.explode(F.array(*map(F.lit, BANDS))))
-    own = spread(["language", "reading_band"]).where(F.col("n") >= LEAST_LABELS)
-    pooled = spread(["reading_band"])
-    figures = [f"{f}_{x}" for f in FEATURES for x in "ms"]
-    joined = cells.join(own, ["language", "reading_band"], "left").join(pooled.select("reading_band", *[F.col(c).alias(f"p_{c}") for c in figures]), "reading_band")
-    return joined.select("language", "reading_band", *[F.coalesce(c, f"p_{c}").alias(c) for c in figures])
+    own = {(r["language"], r["reading_band"]): r for r in spread(["language", "reading_band"]).where(F.col("n") >= LEAST_LABELS).collect()}
+    pooled = {r["reading_band"]: r for r in spread(["reading_band"]).collect()}
+    spoken = sorted(r["language"] for r in described.select("language").distinct().collect())
+    first: dict[str, list[tuple]] = {}
+    for language in spoken:
+        for band in sorted(pooled):
+            row = own.get((language, band), pooled[band])
+            first.setdefault(language, []).append(_cell(band, [row[f"{f}_m"] for f in FEATURES], np.diag([row[f"{f}_s"] ** 2 for f in FEATURES])))
+
+    spark, fit = described.sparkSession, first
+    pairs = [(a, b) for a in range(len(FEATURES)) for b in range(a, len(FEATURES))]
+    for _ in range(REFITS):
+        agreed = nearest_band(known, _cells(spark, fit), ["reading_band"]).where("band = reading_band")
+        sums = agreed.groupBy("language", "reading_band").agg(
+            F.count("*").alias("n"), *[F.avg(f).alias(f"m{a}") for a, f in enumerate(FEATURES)], *[F.covar_pop(FEATURES[a], FEATURES[b]).alias(f"c{a}{b}") for a, b in pairs]
+        )
+        bands: dict[str, dict[int, tuple]] = {}
+        for r in sums.where(F.col("n") >= LEAST_AGREEING).collect():
+            covariance = np.eye(len(FEATURES)) * (LEAST_SPREAD / 2) ** 2
+            for a, b in pairs:
+                covariance[a, b] += r[f"c{a}{b}"]
+            covariance = np.triu(covariance) + np.triu(covariance, 1).T
+            bands.setdefault(r["language"], {})[r["reading_band"]] = _cell(r["reading_band"], [r[f"m{a}"] for a in range(len(FEATURES))], covariance)
+        # a language is refitted as a whole or not at all, so that its bands stay comparable
+        fit = {code: list(bands[code].values()) if len(bands.get(code, {})) == len(cells) else cells for code, cells in first.items()}
+    return _cells(spark, fit)
+
+
+def _cell(band: int, middle: list[float], covariance: np.ndarray) -> tuple:
+    return band, [float(m) for m in middle], [float(x) for x in np.linalg.inv(covariance).ravel()], float(np.linalg.slogdet(covariance)[1])
+
+
+def _cells(spark, by_language: dict[str, list[tuple]]) -> DataFrame:
+    schema = "language string, cells array<struct<band: int, middle: array<double>, precision: array<double>, constant: double>>"
+    return spark.createDataFrame(list(by_language.items()), schema)
+
+
+def nearest_band(described: DataFrame, cells: DataFrame, also: list[str] = []) -> DataFrame:  # noqa: B006
+    """Adds ``band``, the likeliest one; the plainer of equals. ``cells`` has a row a language."""
+    size = len(FEATURES)
+
+    def distance(c):
+        off = [F.col(f) - c["middle"][a] for a, f in enumerate(FEATURES)]
+        terms = [off[a] * off[b] * c["precision"][a * size + b] for a in range(size) for b in range(size)]
+        return sum(terms[1:], terms[0]) + c["constant"]
+
+    nearest = F.array_min(F.transform("cells", lambda c: F.struct(distance(c).alias("d"), c["band"].alias("band"))))["band"]
+    return described.join(F.broadcast(cells), "language").select("doc_id", "language", *also, *FEATURES, nearest.alias("band"))
 
 
 def reading_bands(documents: DataFrame, labels: DataFrame, head: int = HEAD, sample: int = SAMPLE) -> DataFrame:
@@ -294,14 +342,6 @@ def reading_bands(documents: DataFrame, labels: DataFrame, head: int = HEAD, sam
     """
     profile = materialise(profiles(documents), "profiles")
     spoken = materialise(with_language(profile, head), "languages")
-    described = features(coverage(spoken, head))
-    bands = calibrate(described, labels, sample)
-    cell = F.struct("reading_band", *[f"{f}_{x}" for f in FEATURES for x in "ms"])
-    by_language = F.broadcast(bands.groupBy("language").agg(F.collect_list(cell).alias("cells")))
-
-    def distance(c):
-        terms = [F.pow((F.col(f) - c[f"{f}_m"]) / c[f"{f}_s"], F.lit(2)) + 2 * F.log(c[f"{f}_s"]) for f in FEATURES]
-        return sum(terms[1:], terms[0])
-
-    nearest = F.array_min(F.transform("cells", lambda c: F.struct(distance(c).alias("d"), c["reading_band"].alias("band"))))["band"]
-    return described.join(by_language, "language").select("doc_id", nearest.cast("int").alias("reading_band")).groupBy("doc_id").agg(F.min("reading_band").alias("reading_band"))
+    described = materialise(features(coverage(spoken, head)), "features")
+    bands = nearest_band(described, calibrate(described, labels, sample))
+    return bands.where("band IS NOT NULL").groupBy("doc_id").agg(F.min("band").alias("reading_band"))
