@@ -100,7 +100,7 @@ def table_cells(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def table_rows(text: Column) -> Column:
     """The rows of all tables of a text as normalised strings, fences not regarded: cells trimmed, joined by ``|``."""
-    rows = F.filter(F.transform(lines_of(text), F.trim), lambda x: x.startswith("|") & ~x.rlike(SEPARATOR))
+    rows = F.filter(F.transform(lines_of(text), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(SEPARATOR))
     cells = F.transform(rows, lambda x: F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"))
     return F.transform(cells, lambda c: F.array_join(F.transform(c, lambda x: F.regexp_replace(F.trim(x), r"\s+", " ")), "|"))
 
@@ -118,4 +118,4 @@ def image_texts(text: Column) -> Column:
     """The alternative texts of images outside tables, each once, in order."""
     outside = F.filter(lines_of(text), lambda x: ~F.ltrim(x).startswith("|"))
     found = F.flatten(F.transform(outside, lambda x: F.regexp_extract_all(x, F.lit(r"!\[([^\]]*)\]\([^)]*\)"), F.lit(1))))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
