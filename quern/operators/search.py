@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quern.functions.text import nfc, tokens
 from quern.functions.vectors import l2_distance, similarity
+from quern.session import materialise, spread
 
 #: Fixed values of the ranking: BM25, rows a leg, fusion, and the least vector similarity.
 K1, B = 1.2, 0.75
@@ -20,13 +21,14 @@ FLOOR = 0.6
 
 
 def search_rows(fts: DataFrame) -> DataFrame:
-    """Each section once, its texts composed so that equal words are equal tokens; null texts become ''."""
+    """The sections' texts, composed so that equal words are equal tokens; null texts become ''. Repeated rows stay."""
     texts = ["title", "summary", "body_l2", "body_l3"]
-    return fts.where(F.col("id").isNotNull()).dropDuplicates(["id"]).select("id", *[nfc(F.coalesce(c, F.lit(""))).alias(c) for c in texts])
+    return spread(fts.where(F.col("id").isNotNull()).select("id", *texts)).select("id", *[nfc(F.coalesce(c, F.lit(""))).alias(c) for c in texts])
 
 
 def postings(rows: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
-    """``key, field, token, tf``: how often each token occurs in each column of each row."""
+    """``key, field, token, tf``: how often each token occurs in each column of each row; repeated rows count once."""
+    rows = rows.dropDuplicates([key])
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), tokens(F.col(c)).alias("t")) for c in columns]))
     each = rows.select(F.col(key), fields.alias("f")).select(key, "f.field", F.explode("f.t").alias("token"))
     return each.groupBy(key, "field", "token").agg(F.count("*").alias("tf"))
@@ -42,17 +44,19 @@ def bm25(rows: DataFrame, key: str, columns: dict[str, float], queries: DataFram
 
     Term frequencies are weighted by column, lengths are not. A term's weight is the
     logarithm of its odds of absence, at least one millionth, so that a term in most
-    rows still counts a little. Only tokens of the queries are exploded and shuffled.
+    rows still counts a little. The texts are read once and only lengths and the
+    queries' tokens are kept of them, so neither texts nor other tokens are shuffled.
+    Repeated rows count once.
     """
     terms = query_terms(queries)
     wanted = terms.agg(F.collect_set("token")).scalar()
     by_column = {c: tokens(F.col(c)) for c in columns}
     length = sum((F.size(t) for t in list(by_column.values())[1:]), F.size(by_column[next(iter(columns))]))
     sized = rows.select(F.col(key), *[t.alias(f"_{i}") for i, t in enumerate(by_column.values())], length.alias("dl"))
-    total = sized.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
-
     hits = F.concat(*[_hits(i, w) for i, w in enumerate(columns.values())])
-    found = sized.withColumn("_wanted", wanted).select(key, "dl", F.explode(hits).alias("h"))
+    small = materialise(sized.withColumn("_wanted", wanted).select(key, "dl", hits.alias("h")).dropDuplicates([key]), "hits")
+    total = small.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
+    found = small.select(key, "dl", F.explode("h").alias("h"))
     freq = found.groupBy(key, "dl", "h.token").agg(F.sum("h.w").alias("f"))
     df = freq.groupBy("token").agg(F.count("*").alias("df"))
     odds = (F.col("all.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)

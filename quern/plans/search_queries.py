@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.operators import search as s
 from quern.operators.snapshots import current_sections
+from quern.session import spread
 from quern.sources import table
 
 #: Weights of the index's columns.
@@ -89,7 +90,7 @@ def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snippet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What surrounds a query's term in the full text, where the condensed text has none."""
     terms = F.array(*map(F.lit, ["reconciliation", "mirror", "báo"]))
-    rows = s.search_rows(table(spark, sf_dir, "fts"))
+    rows = s.search_rows(table(spark, sf_dir, "fts").dropDuplicates(["id"]))
     none = ~F.exists(terms, lambda t: F.instr(F.lower("body_l2"), t) > 0)
     return rows.where(none).select("id", tx.snippet(F.col("body_l3"), terms).alias("snippet")).where("snippet IS NOT NULL")
 
@@ -114,7 +115,7 @@ def missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each token occurs in the corpus, and in how many documents."""
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.tokens(tx.nfc("text"))).alias("token"))
+    each = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(tx.tokens(tx.nfc("text"))).alias("token"))
     by_doc = each.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     return by_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 

@@ -37,6 +37,19 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
+def spread(df: DataFrame, each: int = 32 << 20) -> DataFrame:
+    """``df`` in a partition for each core, where fewer files than half of them hold all of it and it is small.
+
+    For work that takes much more time than moving its rows: a small file can't be
+    split among tasks. Inputs of many files, or of more than ``each`` bytes a core,
+    stay where they are. Only looks at the plan; nothing is run.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 2 * len(df.inputFiles()) > cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > each * cores:
+        return df
+    return df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a folder of its own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
