@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quern.llm.vocabulary import DEFAULT, FOLDER, load
+from quern.session import spread
 
 
 def _arrow_batches(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -29,7 +30,7 @@ def encode_texts(df: DataFrame, key: str, text: str, name: str = DEFAULT, folder
 
     Null and empty texts give the empty list; repeated rows come out as often as
     they come in; other columns are dropped, whatever they are called; an empty
-    table gives an empty table. No shuffle: every partition is encoded where it is.
+    table gives an empty table. No shuffle, but for small files: every partition is encoded where it is.
     """
     key_type = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -46,7 +47,7 @@ def encode_texts(df: DataFrame, key: str, text: str, name: str = DEFAULT, folder
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(key), ids], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return spread(df.select(key, text)).mapInArrow(run, schema)
 
 
 def count_tokens(df: DataFrame, keys: Sequence[str], texts: dict[str, str], name: str = DEFAULT, folder: str = FOLDER) -> DataFrame:
@@ -62,4 +63,4 @@ def count_tokens(df: DataFrame, keys: Sequence[str], texts: dict[str, str], name
             counted = [pa.array(map(count, batch.column(t).to_pylist()), pa.int64()) for t in texts.values()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *counted], names=[*keys, *texts])
 
-    return df.select(*keys, *dict.fromkeys(texts.values())).mapInArrow(run, schema)
+    return spread(df.select(*keys, *dict.fromkeys(texts.values()))).mapInArrow(run, schema)

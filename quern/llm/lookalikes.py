@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.session import materialise
+from quern.session import materialise, spread
 
 #: Letters of other scripts that look like Latin ones, and the Latin ones.
 LETTERS = (
@@ -79,7 +79,7 @@ def look_of(texts: pd.Series) -> pd.Series:
 def _long(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """``key, field, text``, a row for each field that has text."""
     entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
-    return df.select(F.col(key), F.explode(entries).alias("e")).select(F.col(key).alias("_key"), "e.*").where(F.length("text") > 0)
+    return spread(df.select(key, *fields)).select(F.col(key), F.explode(entries).alias("e")).select(F.col(key).alias("_key"), "e.*").where(F.length("text") > 0)
 
 
 def _digest(text: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quern.session import materialise
+from quern.session import materialise, spread
 
 #: Shares of a document's words that the vocabulary has to cover.
 SHARES = (0.90, 0.95)
@@ -116,7 +116,7 @@ def profiles(documents: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("declared"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
 
-    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", declared.alias("declared"), "text").mapInArrow(run, schema)
+    return spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", declared.alias("declared"), "text")).mapInArrow(run, schema)
 
 
 def _word_counts(profile: DataFrame, language: str) -> DataFrame:
@@ -276,14 +276,14 @@ def calibrate(described: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """
     known = materialise(described.join(majority_labels(labels, sample), "doc_id"), "labelled")
 
-    def spread(by: list[str]) -> DataFrame:
+    def medians(by: list[str]) -> DataFrame:
         middle = known.groupBy(*by).agg(F.count("*").alias("n"), *[F.median(f).alias(f"{f}_m") for f in FEATURES])
         off = known.join(F.broadcast(middle), by).groupBy(*by).agg(*[F.median(F.abs(F.col(f) - F.col(f"{f}_m"))).alias(f"{f}_s") for f in FEATURES])
         widths = [F.greatest(F.col(f"{f}_s") * 1.4826, F.lit(LEAST_SPREAD)).alias(f"{f}_s") for f in FEATURES]
         return middle.join(off, by).select(*by, "n", *[f"{f}_m" for f in FEATURES], *widths)
 
-    own = {(r["language"], r["reading_band"]): r for r in spread(["language", "reading_band"]).where(F.col("n") >= LEAST_LABELS).collect()}
-    pooled = {r["reading_band"]: r for r in spread(["reading_band"]).collect()}
+    own = {(r["language"], r["reading_band"]): r for r in medians(["language", "reading_band"]).where(F.col("n") >= LEAST_LABELS).collect()}
+    pooled = {r["reading_band"]: r for r in medians(["reading_band"]).collect()}
     spoken = sorted(r["language"] for r in described.select("language").distinct().collect())
     first: dict[str, list[tuple]] = {}
     for language in spoken:
