@@ -209,9 +209,23 @@ def classify(text: str, headers: set[str], numbers: set[int] | None) -> list[Lin
             lines.append(Line("header", line))
         else:
             lines.append(Line("item" if _ITEM.match(line) else "text", line))
+    for i in _listed(lines):
+        lines[i].kind = "text"
     return lines
 
 
+def _listed(lines: list[Line]) -> list[int]:
+    """Lines taken for page numbers that are values of a list: in a run of plain numbers that a colon opens, away from running lines."""
+    out, run = [], False
+    for i, line in enumerate(lines):
+        plain_number = line.text.strip().isdigit()
+        run = plain_number and (run or (i > 0 and lines[i - 1].text.rstrip().endswith(":")))
+        near = [x.kind for x in lines[max(0, i - 1) : i + 2]]
+        if run and line.kind == "page_number" and "header" not in near:
+            out.append(i)
+    return out
+
+
 def _own_number(n: tuple[int, bool], numbers: set[int] | None, at: int, found: list) -> bool:
     value, plain = n
     if numbers:

@@ -67,6 +67,7 @@ border.
 
 FN-7:
 12
+8
 19
 7 apples
 
@@ -103,7 +104,7 @@ def test_repaired(spark):
     got = {r["id"]: r["body_l3"] for r in S.repair_scans(*tables(spark, BODY)).collect()}
     assert len(got) == 53 and got[3] == BODY and got[2] is None
     assert got[1].splitlines()[:2] == ["## 1.1 Title", "The manager should review the long-term contract and pre- and post-checks. The team of the organisation is cross-border."]
-    assert "| 8 | tearn |" in got[1] and "FN-7: 12 19 7 apples" in got[1]
+    assert "| 8 | tearn |" in got[1] and "FN-7: 12 8 19 7 apples" in got[1]
 
 
 def test_without_scans(spark):
@@ -116,3 +117,8 @@ def test_long_text(spark):
     sections, fts, *rest = tables(spark, "## 1\n" + "The tearn should review.\n" * 20_000)
     got = S.scan_noise(sections, fts.where("id <> 3"), *rest).collect()
     assert [tuple(r) for r in got] == [(1, "misread", "team")]
+
+
+def test_numbers_of_a_list_are_no_page_numbers():
+    kinds = [line.kind for line in S.classify("x:\n12\n7\n\n8\ny\n7", set(), {7, 8})]
+    assert kinds == ["text", "text", "text", "blank", "page_number", "text", "page_number"]
