@@ -34,7 +34,8 @@ from quern.session import materialise
 CONFUSIONS = (
     ("m", "rn"), ("n", "ri"), ("u", "ii"), ("ü", "ii"), ("w", "vv"), ("d", "cl"), ("h", "b"), ("li", "h"),
     ("e", "c"), ("i", "l"), ("l", "1"), ("i", "1"), ("o", "0"), ("s", "5"), ("g", "9"), ("t", "f"), ("b", "6"), ("é", "6"),
-    ("rn", "m"), ("ó", "6"), ("ô", "6"), ("ả", "å"), ("á", "å"), ("ấ", "â'"), ("ế", "ê'"), ("ố", "ô'"), ("z", "2"), ("b", "8"), ("q", "9"),
+    ("rn", "m"), ("ó", "6"), ("ô", "6"), ("ả", "å"), ("á", "å"), ("ấ", "â'"), ("ế", "ê'"), ("ố", "ô'"), ("z", "2"), ("b", "8"), ("q", "9"), ("ß", "b"), ("ß", "8"),
+    ("ạ", "a."), ("ẹ", "e."), ("ệ", "e."), ("ệ", "ê."), ("ị", "i."), ("ọ", "o."), ("ộ", "ô."), ("ợ", "ơ."), ("ụ", "u."), ("ự", "ư."), ("ậ", "â."), ("ặ", "ă."),
 )
 #: Confusions in one word that are undone at most.
 DEPTH = 2
@@ -52,7 +53,8 @@ BREAKS = "-‐‑\xac\xad"
 PAGE_WORDS = ("page", "seite", "trang", "pg", "p", "s", "tr")
 
 _NEWLINE = re.compile(r"\r\n|\n|\r")
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[-'’‐‑][\p{L}\p{M}\p{N}]+)*")
+#: Letters and numbers, joined by hyphens and apostrophes, or by a dot that a letter may have had below it.
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:(?:[-'’‐‑]|(?<=[aeiouâêôơưă])\.)[\p{L}\p{M}\p{N}]+)*")
 _LAST = regex.compile(rf"([\p{{L}}\p{{M}}\p{{N}}]+(?:[-'’][\p{{L}}\p{{M}}\p{{N}}]+)*)([{BREAKS}])[ \t]*$")
 _FIRST = regex.compile(r"^[ \t]*([\p{L}\p{M}\p{N}]+(?:[-'’‐‑][\p{L}\p{M}\p{N}]+)*)")
 _FENCE = re.compile(r"[ \t]{0,3}(```|~~~)")

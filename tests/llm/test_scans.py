@@ -29,7 +29,7 @@ def test_headers_misread_and_with_numbers():
 
 
 def test_candidates_undo_confusions():
-    for word, seen in (("annual", "arinual"), ("team", "tearn"), ("window", "vvindow"), ("read", "rcacl"), ("list", "1lst"), ("holiday", "hohday"), ("internen", "intemen")):
+    for word, seen in (("annual", "arinual"), ("team", "tearn"), ("window", "vvindow"), ("read", "rcacl"), ("list", "1lst"), ("holiday", "hohday"), ("internen", "intemen"), ("liệu", "lie.u"), ("mäßig", "mäbig")):
         assert word in S.candidates(seen)
 
 
@@ -77,7 +77,7 @@ FN-7:
 
 def tables(spark, body, pages=True, furniture=True):
     clean = [(i, "t", " ".join(RNG.choice(WORDS) for _ in range(40)), "pre and post checks and", "the and " * 30) for i in range(10, 60)]
-    fts = spark.createDataFrame([(1, "x", None, "", body), (1, "x", None, "", body), (2, None, None, None, None), (3, "x", "", "", body), *clean], "id long, title string, summary string, body_l2 string, body_l3 string")
+    fts = spark.createDataFrame([(1, "x", None, "", body), (1, "x", None, "", body), (2, None, None, None, None), (3, "x", "", "", body.replace("tearn", "team")), *clean], "id long, title string, summary string, body_l2 string, body_l3 string")
     sections = spark.createDataFrame([(1, 1, "r", "d", "1", 1), (1, 1, "r", "d", "2", 2), (1, 1, "r", "other", "1", 3)], "snapshot_no int, delivered_at int, repo_id string, doc_id string, section_id string, id long")
     own = spark.createDataFrame([("r", "d", 1, "Acme Handbook\n1 Title\nThe manager\n7"), ("r", "d", 2, "Acme Handbook\ntract\n8"), ("r", "d", 3, None)], "repo_id string, doc_id string, page int, page_text string")
     lines = spark.createDataFrame([("r", "d", 1, "Acme Handbook"), ("r", "d", 1, "7"), ("r", "d", 2, None)], "repo_id string, doc_id string, page int, line_text string")
@@ -102,7 +102,7 @@ def test_words_outside_the_head_are_looked_up(spark):
 
 def test_repaired(spark):
     got = {r["id"]: r["body_l3"] for r in S.repair_scans(*tables(spark, BODY)).collect()}
-    assert len(got) == 53 and got[3] == BODY and got[2] is None
+    assert len(got) == 53 and got[3] == BODY.replace("tearn", "team") and got[2] is None
     assert got[1].splitlines()[:2] == ["## 1.1 Title", "The manager should review the long-term contract and pre- and post-checks. The team of the organisation is cross-border."]
     assert "| 8 | tearn |" in got[1] and "FN-7: 12 8 19 7 apples" in got[1]
 
@@ -114,8 +114,7 @@ def test_without_scans(spark):
 
 
 def test_long_text(spark):
-    sections, fts, *rest = tables(spark, "## 1\n" + "The tearn should review.\n" * 20_000)
-    got = S.scan_noise(sections, fts.where("id <> 3"), *rest).collect()
+    got = S.scan_noise(*tables(spark, "## 1\n" + "The tearn should review.\n" * 20_000)).collect()
     assert [tuple(r) for r in got] == [(1, "misread", "team")]
 
 
