@@ -5,8 +5,16 @@ Every operator takes a batch of queries and answers all of them in one job.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quern.functions.text import nfc, tokens
@@ -18,6 +26,8 @@ K1, B = 1.2, 0.75
 LEG = 50
 FUSION = 60
 FLOOR = 0.6
+#: Queries that are answered together, and queries and rows of one matrix product.
+BLOCK, PART, ROWS = 10_000, 256, 1_000
 
 
 def search_rows(fts: DataFrame) -> DataFrame:
@@ -39,36 +49,123 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
 
 
-def bm25(rows: DataFrame, key: str, columns: dict[str, float], queries: DataFrame) -> DataFrame:
+def bm25(rows: DataFrame, key: str, columns: dict[str, float], queries: DataFrame, k: int | None = None) -> DataFrame:
     """``query_id, key, score`` of every row with one of the query's terms; a higher score is better.
 
     Term frequencies are weighted by column, lengths are not. A term's weight is the
     logarithm of its odds of absence, at least one millionth, so that a term in most
-    rows still counts a little. The texts are read once and only lengths and the
-    queries' tokens are kept of them, so neither texts nor other tokens are shuffled.
-    Repeated rows count once.
+    rows still counts a little. The texts are read once a block of queries, and only
+    lengths and the queries' tokens, as numbers, are kept of them. Repeated rows count
+    once. Keys are integers. With ``k`` each task keeps, of all its scores, the ``k``
+    best of a query (to nine digits, ties to the lower key), as ``top`` would.
     """
-    terms = query_terms(queries)
-    wanted = terms.agg(F.collect_set("token")).scalar()
-    by_column = {c: tokens(F.col(c)) for c in columns}
-    length = sum((F.size(t) for t in list(by_column.values())[1:]), F.size(by_column[next(iter(columns))]))
-    sized = rows.select(F.col(key), *[t.alias(f"_{i}") for i, t in enumerate(by_column.values())], length.alias("dl"))
-    hits = F.concat(*[_hits(i, w) for i, w in enumerate(columns.values())])
-    small = materialise(sized.withColumn("_wanted", wanted).select(key, "dl", hits.alias("h")).dropDuplicates([key]), "hits")
-    total = small.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
-    found = small.select(key, "dl", F.explode("h").alias("h"))
-    freq = found.groupBy(key, "dl", "h.token").agg(F.sum("h.w").alias("f"))
-    df = freq.groupBy("token").agg(F.count("*").alias("df"))
-    odds = (F.col("all.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    idf = df.withColumn("all", total).select("token", F.col("all.avgdl").alias("avgdl"), F.when(F.log(odds) > 0, F.log(odds)).otherwise(F.lit(1e-6)).alias("idf"))
-    weighted = terms.join(idf, "token")
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return freq.join(weighted, "token").groupBy("query_id", key).agg(F.sum(part * F.col("times")).alias("score"))
-
-
-def _hits(i: int, weight: float) -> Column:
-    kept = F.filter(F.col(f"_{i}"), lambda t: F.array_contains(F.col("_wanted"), t))
-    return F.transform(kept, lambda t: F.struct(t.alias("token"), F.lit(float(weight)).alias("w")))
+    scored = None
+    for block in _blocks(queries):
+        part = _bm25_block(rows, key, columns, block, k)
+        scored = part if scored is None else scored.unionByName(part)
+    return scored
+
+
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of about ``BLOCK``, by a hash of their ids."""
+    n = -(-queries.count() // BLOCK)
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
+def _bm25_block(rows: DataFrame, key: str, columns: dict[str, float], queries: DataFrame, k: int | None) -> DataFrame:
+    asked = [(r["query_id"], r["token"], r["times"]) for r in query_terms(queries).collect()]
+    ids, known = sorted({q for q, _, _ in asked}), sorted({t for _, t, _ in asked})
+    code, at = {t: i for i, t in enumerate(known)}, {q: i for i, q in enumerate(ids)}
+    wanted = sorted((at[q], code[t], n) for q, t, n in asked)
+    weights = list(columns.values())
+    by_column = [tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)]
+    held = T.StructType([rows.schema[key], *T.StructType.fromDDL("dl long, codes array<int>, f array<double>")])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(known, pa.string())
+        for batch in batches:
+            n, length, cells, sums = batch.num_rows, np.zeros(batch.num_rows, np.int64), [], []
+            for i, w in enumerate(weights):
+                lists = batch.column(f"_{i}")
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                cell = np.repeat(np.arange(n), sizes) * max(len(known), 1) + found
+                cells.append(cell[found >= 0])
+                sums.append(np.full(len(cells[-1]), float(w)))
+                length += sizes
+            cell, back = np.unique(np.concatenate(cells), return_inverse=True)
+            f = np.bincount(back, np.concatenate(sums), len(cell))
+            row, c = np.divmod(cell, max(len(known), 1))
+            ends = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (c.astype(np.int32), f.astype(float))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(length), *lists], names=held.names)
+
+    small = materialise(rows.select(key, *by_column).mapInArrow(count, held).dropDuplicates([key]), "hits")
+    n, avgdl = small.agg(F.count("*"), F.avg("dl")).first()
+    idf = np.full(len(known), 1e-6)
+    for c, df in small.select(F.explode("codes").alias("c")).groupBy("c").count().collect():
+        idf[c] = max(math.log((n - df + 0.5) / (df + 0.5)), 0) or 1e-6
+    result = T.StructType([queries.schema["query_id"], rows.schema[key], T.StructField("score", T.DoubleType())])
+    id_type, key_type = (to_arrow_type(x.dataType) for x in result.fields[:2])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_asked_of(wanted, i, min(i + PART, len(ids))) for i in range(0, len(ids), PART)]
+        least, kept, size = np.zeros(len(ids)), [], 0
+        names = pa.array(ids, id_type)
+
+        def best() -> None:
+            nonlocal kept, size
+            q, key_, s = (np.concatenate(x) for x in zip(*kept))
+            order = np.lexsort((key_, -np.round(s, 9), q))
+            q, key_, s = q[order], key_[order], s[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            last = rank == k - 1
+            least[q[last]] = np.round(s[last], 9)
+            kept, size = [(q[rank < k], key_[rank < k], s[rank < k])], int((rank < k).sum())
+
+        def made(q: np.ndarray, key_: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+            columns_ = [names.take(pa.array(q)), pa.array(key_).cast(key_type), pa.array(s)]
+            return pa.RecordBatch.from_arrays(columns_, names=result.names)
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                own = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
+                dl = batch.column("dl").to_numpy(zero_copy_only=False)
+                codes, f = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("codes", "f"))
+                row = np.repeat(np.arange(len(own)), pc.list_value_length(batch.column("codes")).to_numpy(zero_copy_only=False))
+                gain = idf[codes] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl[row] / avgdl))
+                for first, place, times in parts:
+                    there = place[codes] >= 0
+                    grid = np.zeros((len(own), len(times)))
+                    grid[row[there], place[codes[there]]] = gain[there]
+                    s = grid @ times
+                    r, q = np.nonzero((s > 0) & (np.round(s, 9) >= least[first : first + s.shape[1]]))
+                    if k is None:
+                        yield made(q + first, own[r], s[r, q])
+                    elif len(r):
+                        kept.append((q + first, own[r], s[r, q]))
+                        size += len(r)
+                        if size > 4 * k * len(ids) + 100_000:
+                            best()
+        if kept:
+            best()
+            yield made(*kept[0])
+
+    spread_out = small.repartition(small.sparkSession.sparkContext.defaultParallelism)
+    return spread_out.select(key, "dl", "codes", "f").mapInArrow(score, result)
+
+
+def _asked_of(wanted: list[tuple[int, int, int]], first: int, end: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """For the queries from ``first`` on: where each token stands among theirs, or -1, and how often each query has it."""
+    own = [(q - first, c, n) for q, c, n in wanted if first <= q < end]
+    codes = sorted({c for _, c, _ in own})
+    place = np.full(max(c for _, c, _ in wanted) + 1, -1)
+    place[codes] = np.arange(len(codes))
+    times = np.zeros((len(codes), end - first))
+    for q, c, n in own:
+        times[place[c], q] = n
+    return first, place, times
 
 
 def top(scored: DataFrame, key: str, order: list[Column], k: int = LEG) -> DataFrame:
@@ -79,22 +176,24 @@ def top(scored: DataFrame, key: str, order: list[Column], k: int = LEG) -> DataF
 
 def keyword_leg(rows: DataFrame, key: str, columns: dict[str, float], queries: DataFrame, k: int = LEG) -> DataFrame:
     """The best rows by BM25; scores are compared to nine digits, ties go to the lower key."""
-    return top(bm25(rows, key, columns, queries), key, [F.round("score", 9).desc()], k)
+    return top(bm25(rows, key, columns, queries, k), key, [F.round("score", 9).desc()], k)
 
 
 def neighbours(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = LEG, floor: float | None = None) -> DataFrame:
     """``query_id, key, distance, rank`` of the nearest vectors to each query's ``vector``, exactly.
 
-    The queries, a stated set, are broadcast after their number was checked; every
-    row is compared where it lies and each task keeps ``k`` a query.
+    The queries are broadcast in blocks of about ``BLOCK``, however many there are;
+    every row is compared where it lies and each task keeps ``k`` a query.
     """
-    asked = queries.select("query_id", F.col("vector").alias("_asked"))
-    if asked.limit(10_001).count() > 10_000:
-        raise ValueError("at most 10,000 queries in one batch")
-    near = vectors.join(F.broadcast(asked), F.col(vector).isNotNull() & F.col("_asked").isNotNull()).select("query_id", F.col(key), l2_distance(F.col(vector), F.col("_asked")).alias("distance"))
-    if floor is not None:
-        near = near.where(similarity(F.col("distance")) >= floor)
-    return top(near, key, [F.col("distance")], k)
+    found = None
+    for block in _blocks(queries):
+        asked = block.select("query_id", F.col("vector").alias("_asked"))
+        near = vectors.join(F.broadcast(asked), F.col(vector).isNotNull() & F.col("_asked").isNotNull()).select("query_id", F.col(key), l2_distance(F.col(vector), F.col("_asked")).alias("distance"))
+        if floor is not None:
+            near = near.where(similarity(F.col("distance")) >= floor)
+        part = top(near, key, [F.col("distance")], k)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def fuse(legs: dict[str, DataFrame], key: str) -> DataFrame:
