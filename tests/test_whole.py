@@ -54,3 +54,9 @@ def test_searches_go_by_blocks(spark, monkeypatch):
     want, got = (sorted((q, i, n, round(s, 9)) for q, i, s, n in x.collect()) for x in (every, search.keyword_leg(df, "id", {"t": 1.0}, asked, 2)))
     assert {r[0] for r in want} == set(range(10))
     assert got == want
+
+
+@data
+def test_citations_of_every_version(spark, duck):  # noqa: F811
+    got = whole(spark, duck, "citation_status", (" WHERE version <= 3", ""))
+    assert {r["version"] for r in got} == {1, 2, 3, 5, 6, 7, 101}
