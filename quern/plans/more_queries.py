@@ -28,7 +28,7 @@ def theta_term_match(spark, sf_dir):
 
 def tag_suggestions(spark, sf_dir):
     """The tags most like each tag."""
-    tags = table(spark, sf_dir, "doc_tags").select(F.lower(F.trim("tag")).alias("tag")).where("tag NOT RLIKE '[0-9]{6}'").distinct()
+    tags = table(spark, sf_dir, "doc_tags").select(F.lower(F.trim("tag")).alias("tag")).distinct()
     return matching.suggestions(tags, "tag", tags.withColumnRenamed("tag", "entry"), "entry")
 
 

@@ -1,12 +1,13 @@
 """Queries over all of their tables: the registered SQL with its cut taken out, and operators beyond a block."""
 
+import random
 from collections import Counter
 from pathlib import Path
 
 import pytest
 
 from quern import plans
-from quern.operators import search
+from quern.operators import matching, search
 from quern.plans import search_queries
 from test_queries import duck, plain  # noqa: F401
 
@@ -60,3 +61,21 @@ def test_searches_go_by_blocks(spark, monkeypatch):
 def test_citations_of_every_version(spark, duck):  # noqa: F811
     got = whole(spark, duck, "citation_status", (" WHERE version <= 3", ""))
     assert {r["version"] for r in got} == {1, 2, 3, 5, 6, 7, 101}
+
+
+@data
+def test_suggestions_for_every_tag(spark, duck):  # noqa: F811
+    got = whole(spark, duck, "tag_suggestions", (" WHERE NOT regexp_matches(lower(trim(tag)), '[0-9]{6}')", ""))
+    assert any(r["tag"][-6:].isdigit() for r in got)
+
+
+def test_suggestions_equal_all_pairs(spark):
+    rng = random.Random(3)
+    words = sorted({f"{rng.choice(['hr', 'it'])}-{rng.choice(['plan', 'note'])}-{rng.randint(0, 400):06d}" for _ in range(90)} | {"".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(40)} | {"zq", ""})
+    grams = {w: {f" {w} "[i : i + 2] for i in range(len(w) + 1)} for w in words}
+    want = set()
+    for w in words:
+        scored = sorted((-round(2 * len(grams[w] & grams[e]) / (len(grams[w]) + len(grams[e])), 6), e) for e in words if e != w and grams[w] & grams[e])
+        want |= {(w, e, -s, i + 1) for i, (s, e) in enumerate(scored[:3])}
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    assert {tuple(r) for r in matching.suggestions(df, "t", df.withColumnRenamed("t", "e"), "e").collect()} == want
