@@ -21,8 +21,8 @@ def _fts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def theta_term_match(spark, sf_dir):
-    """Short section titles in the condensed texts."""
-    titles = table(spark, sf_dir, "fts").where(r"title RLIKE '^[A-Za-z]+ [A-Za-z]+$'").select(F.col("title").alias("term")).distinct()
+    """Section titles in the condensed texts."""
+    titles = table(spark, sf_dir, "fts").where("trim(title) <> ''").select(F.col("title").alias("term")).distinct()
     return matching.term_matches(titles, "term", _fts(spark, sf_dir), "id", "body_l2")
 
 

@@ -1,6 +1,7 @@
 """Queries over all of their tables: the registered SQL with its cut taken out, and operators beyond a block."""
 
 import random
+import unicodedata
 from collections import Counter
 from pathlib import Path
 
@@ -79,3 +80,34 @@ def test_suggestions_equal_all_pairs(spark):
         want |= {(w, e, -s, i + 1) for i, (s, e) in enumerate(scored[:3])}
     df = spark.createDataFrame([(w,) for w in words], "t string")
     assert {tuple(r) for r in matching.suggestions(df, "t", df.withColumnRenamed("t", "e"), "e").collect()} == want
+
+
+def _stands(term, text):
+    """Whether the term stands in the text with no letter, digit or low line on either side."""
+    term, text = term.lower(), (text or "").lower()
+    word = lambda c: c == "_" or unicodedata.category(c)[0] == "L" or unicodedata.category(c)[0] == "N"
+    at = text.find(term)
+    while at >= 0:
+        if not (at and word(text[at - 1])) and not (at + len(term) < len(text) and word(text[at + len(term)])):
+            return True
+        at = text.find(term, at + 1)
+    return False
+
+
+@data
+def test_titles_of_any_form_are_looked_up(spark):
+    rows = spark.read.parquet(str(DATA / "fts.parquet")).where("id IS NOT NULL").dropDuplicates(["id"]).select("id", "title", "body_l2").collect()
+    titles = {r["title"] for r in rows if (r["title"] or "").strip()}
+    want = {(t, r["id"]) for t in titles for r in rows if _stands(t, r["body_l2"])}
+    got = [tuple(r) for r in plans.queries()["theta_term_match"](spark, str(DATA)).select("term", "id").collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want
+    assert any(not t.isascii() for t, _ in got) and any(" " not in t for t, _ in got)
+
+
+def test_terms_with_signs(spark):
+    terms = ["C++ (new)", "a-b", "Mật khẩu", "one", "x.y*", "two three four"]
+    texts = ["the c++ (new) one", "a-b mật khẩu.", "xa-b none oneself", "x.y* two three four", "xzy two three fourth", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {tuple(r) for r in matching.term_matches(spark.createDataFrame([(t,) for t in terms], "term string"), "term", df, "id", "t").collect()}
+    assert got == {(t, i) for t in terms for i, x in enumerate(texts) if _stands(t, x)}
