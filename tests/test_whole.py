@@ -111,3 +111,17 @@ def test_terms_with_signs(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     got = {tuple(r) for r in matching.term_matches(spark.createDataFrame([(t,) for t in terms], "term string"), "term", df, "id", "t").collect()}
     assert got == {(t, i) for t in terms for i, x in enumerate(texts) if _stands(t, x)}
+
+
+@data
+def test_bags_of_every_year(spark, duck):  # noqa: F811
+    sql = """WITH o AS (SELECT year(o_orderdate) AS year, o_orderpriority, o_orderstatus FROM orders)
+        SELECT year, o_orderpriority, o_orderstatus, greatest(sum(n), 0) AS missing, greatest(-sum(n), 0) AS extra FROM (
+            SELECT year + 1 AS year, o_orderpriority, o_orderstatus, 1 AS n FROM o UNION ALL SELECT year, o_orderpriority, o_orderstatus, -1 FROM o)
+        WHERE year > (SELECT min(year) FROM o) AND year <= (SELECT max(year) FROM o) GROUP BY ALL HAVING sum(n) <> 0"""
+    df = plans.queries()["multiset_compare"](spark, str(DATA))
+    got = Counter(tuple(map(plain, r)) for r in df.collect())
+    assert got == Counter(tuple(map(plain, r)) for r in duck.execute(sql).fetchall())
+    assert {r[0] for r in got} == set(range(1996, 2002))
+    old = Counter(tuple(map(plain, r)) for r in duck.execute(plans.oracle_sql()["multiset_compare"]).fetchall())
+    assert Counter(r[1:] for r in got if r[0] == 1997) == old
