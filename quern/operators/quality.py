@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quern.functions.text import content_digest
@@ -126,3 +130,34 @@ def uncovered_shingles(rows: DataFrame, size: int = 4) -> DataFrame:
     own = rows.select("id", words(F.coalesce("body_l2", F.lit(""))).alias("a"), words(F.coalesce("body_l3", F.lit(""))).alias("b"))
     made = own.select("id", runs(F.col("a")).alias("a"), runs(F.col("b")).alias("b")).where(F.size("a") > 0)
     return made.select("id", F.size("a").alias("n"), F.size(F.array_except("a", "b")).alias("uncovered"))
+
+
+def uncovered_runs(rows: DataFrame, size: int = 4, least: int = 5) -> DataFrame:
+    """``id, start, words, passage``: the longest runs of the condensed text's words, from position 0, that the full text doesn't cover.
+
+    A word is covered if it stands in a run of ``size`` words that the full text has,
+    or, where either text is shorter than that, if the full text has it. Runs of
+    fewer than ``least`` words don't come out; with 1 all uncovered positions do.
+    Every row is looked at where it lies: joined by runs, the words of all texts would be shuffled many times over.
+    """
+    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("start int, words int, passage string")])
+    id_type = to_arrow_type(schema["id"].dataType)
+
+    def find(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
+        n = 1 if len(a) < size or len(b) < size else size
+        known = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
+        end = 0
+        for i in [*(i for i in range(len(a) - n + 1) if tuple(a[i : i + n]) in known), len(a)]:
+            if i - end >= least:
+                yield end, i - end
+            end = i + n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, a, b in zip(*(batch.column(c).to_pylist() for c in ("id", "a", "b"))):
+                out += [(key, start, n, " ".join(a[start : start + n])) for start, n in find(a, b)]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, pa.int32(), pa.int32(), pa.string()))], names=schema.names)
+
+    return rows.select("id", words(F.coalesce("body_l2", F.lit(""))).alias("a"), words(F.coalesce("body_l3", F.lit(""))).alias("b")).mapInArrow(run, schema)

@@ -302,6 +302,11 @@ def shingle_coverage(spark, sf_dir):
     return quality.uncovered_shingles(_fts(spark, sf_dir))
 
 
+def shingle_runs(spark, sf_dir):
+    """Where five or more words of the condensed text aren't covered by the full one."""
+    return quality.uncovered_runs(_fts(spark, sf_dir))
+
+
 def digest_drift(spark, sf_dir):
     """Sections whose text isn't the recorded one."""
     return quality.digest_drift(_sections(spark, sf_dir).withColumn("content_hash", F.lower(F.hex("content_hash"))).withColumn("content_hash", F.substring("content_hash", 3, 64)), table(spark, sf_dir, "fts"))

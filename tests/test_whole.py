@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 from quern import plans
-from quern.operators import matching, search
+from quern.operators import matching, quality, search
 from quern.plans import search_queries
 from test_queries import duck, plain  # noqa: F401
 
@@ -125,3 +125,25 @@ def test_bags_of_every_year(spark, duck):  # noqa: F811
     assert {r[0] for r in got} == set(range(1996, 2002))
     old = Counter(tuple(map(plain, r)) for r in duck.execute(plans.oracle_sql()["multiset_compare"]).fetchall())
     assert Counter(r[1:] for r in got if r[0] == 1997) == old
+
+
+def test_uncovered_runs_against_a_mask(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 40))), " ".join(rng.choices("abc", k=rng.choice([0, 2, 3, 4, 12, 40])))) for i in range(80)]
+    texts += [(80, None, "a"), (81, "a b c d e f", None), (82, "p q r s t u a b c d v w x y z", "a b c d")]
+    for least in (1, 5):
+        want = set()
+        for i, a, b in texts:
+            a, b = (a or "").split(), (b or "").split()
+            n = 1 if min(len(a), len(b)) < 4 else 4
+            covered = [any(a[p : p + n] == b[q : q + n] for p in range(max(x - n + 1, 0), min(x, len(a) - n) + 1) for q in range(len(b) - n + 1)) for x in range(len(a))] + [True]
+            start = 0
+            for x, ok in enumerate(covered):
+                if ok:
+                    if x - start >= least:
+                        want.add((i, start, x - start, " ".join(a[start:x])))
+                    start = x + 1
+        df = spark.createDataFrame(texts, "id long, body_l2 string, body_l3 string")
+        got = [tuple(r) for r in quality.uncovered_runs(df, least=least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert (82, 0, 6, "p q r s t u") in want and (82, 10, 5, "v w x y z") in want
