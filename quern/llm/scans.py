@@ -7,7 +7,9 @@ been is weighed by how likely its characters are confused and by how likely the
 corpus makes it there, and Viterbi picks the best path through each line.
 
 The driver holds the confusions and the most frequent words, both of a fixed bound;
-rarer words, the suspicious words' candidates and word pairs are looked up by joins.
+rarer words, the suspicious words' candidates and word pairs are looked up by joins,
+so that no result depends on the bound. A word and all its misreadings, however many
+of its characters are confused, share one skeleton; candidates are joined by it.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +41,14 @@ CONFUSIONS = (
     ("rn", "m"), ("ó", "6"), ("ô", "6"), ("ả", "å"), ("á", "å"), ("ấ", "â'"), ("ế", "ê'"), ("ố", "ô'"), ("z", "2"), ("b", "8"), ("q", "9"), ("ß", "b"), ("ß", "8"),
     ("ạ", "a."), ("ẹ", "e."), ("ệ", "e."), ("ệ", "ê."), ("ị", "i."), ("ọ", "o."), ("ộ", "ô."), ("ợ", "ơ."), ("ụ", "u."), ("ự", "ư."), ("ậ", "â."), ("ặ", "ă."),
 )
-#: Confusions in one word that are undone at most.
-DEPTH = 2
 #: Words sent to all tasks, the most frequent ones; others are looked up by a join.
 HEAD = 100_000
-#: A word counts as seen from so many times on.
+#: A word seen so often, without a likelier reading, is taken as it is; others are decoded in their line. Pairs with rarer words tell nothing.
 SEEN = 3
+#: One in so many: how likely a word nobody has seen has just these characters, by character; at most a hundredth of a word seen once.
+CHARACTERS = 30
+#: Lines at either edge of a page that may be running lines. Where all of them are, as many more are looked at, and so on.
+EDGE = 3
 #: Probability of a confusion before any was counted.
 PRIOR = 1e-3
 #: Share of a word's probability that comes from the word before it.
@@ -51,7 +57,10 @@ PAIR_SHARE = 0.6
 BREAKS = "-‐‑\xac\xad"
 #: Words for page in the store's languages.
 PAGE_WORDS = ("page", "seite", "trang", "pg", "p", "s", "tr")
+#: Words before the total of pages.
+TOTAL_WORDS = ("of", "von", "sur", "de", "trên")
 
+_ALNUM = regex.compile(r"[\p{L}\p{N}]+")
 _NEWLINE = re.compile(r"\r\n|\n|\r")
 #: Letters and numbers, joined by hyphens and apostrophes, or by a dot that a letter may have had below it.
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:(?:[-'’‐‑]|(?<=[aeiouâêôơưă])\.)[\p{L}\p{M}\p{N}]+)*")
@@ -62,6 +71,7 @@ _ITEM = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]")
 _ROMAN = re.compile(r"(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
 
 _FOLDS = [(seen, real) for real, seen in (("m", "rn"), ("n", "ri"), ("u", "ii"), ("w", "vv"), ("d", "cl"), ("h", "li"))]
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
 _DIGITS = str.maketrans({"1": "l", "6": "b"})
 _FOLDED = str.maketrans({"1": "l", "i": "l", "0": "o", "5": "s", "9": "g", "6": "b", "8": "b", "c": "e", "f": "t", "h": "b", "2": "z", "é": "b"})
 
@@ -98,18 +108,22 @@ _PAGE_FOLDS = {fold(w) for w in PAGE_WORDS}
 def page_number(line: str) -> tuple[int, bool] | None:
     """The number of a line that is nothing but a page's number, and whether it is plain digits.
 
-    Signs, a word for page and a total may stand with it.
+    Signs, however many, a word for page and a total may stand with it.
     """
-    words = regex.findall(r"[\p{L}\p{N}]+", look(line))
-    named = len(words) > 1 and fold(words[0]) in _PAGE_FOLDS and number_of(words[0]) is None
-    named = named or (len(words) > 1 and words[0].isalpha() and fold(words[0]) in _PAGE_FOLDS)
+    words = [m[0] for m in islice(_ALNUM.finditer(look(line)), 5)]
+    if not 1 <= len(words) <= 4:
+        return None
+    named = len(words) > 1 and fold(words[0]) in _PAGE_FOLDS and (words[0].isalpha() or number_of(words[0]) is None)
     words = words[named:]
-    if not 1 <= len(words) <= 2 or len(line.strip()) > 30:
+    total = len(words) == 3 and words[1].lower() in TOTAL_WORDS
+    if total:
+        words = words[::2]
+    if len(words) > 2:
         return None
     numbers = [number_of(w) for w in words]
     if None in numbers or (len(numbers) == 2 and not numbers[0] <= numbers[1]):
         return None
-    if len(numbers) == 2 and not re.search(r"[/|]|\b(?:of|von|sur|de|trên)\b", line):
+    if len(numbers) == 2 and not (total or re.search(r"[/|]", line)):
         return None
     return numbers[0], line.strip().isdigit()
 
@@ -126,37 +140,62 @@ def header_forms(line: str) -> set[str]:
 
 
 def masks(line: str) -> list[str]:
-    """A short line's folded forms without one of its words and with all numbers alike.
+    """A line's folded forms without one of its words and with all numbers alike, as their lengths and hashes.
 
-    Running lines of different documents that differ in a name only share one.
+    Running lines of different documents that differ in a name only share one. A form's
+    hash is put together from those of the line's beginnings, so a long line costs no more than its length.
     """
-    words = regex.findall(r"[\p{L}\p{M}\p{N}]+", look(line))
-    if not 2 <= len(words) <= 8:
-        return []
-    folded = [fold(re.sub(r"\d+", "0", w)) for w in words]
-    return [f for f in {"".join(folded[:i] + folded[i + 1 :]) for i in range(len(words))} if len(f) >= 4]
-
-
-def repeats_header(line: str, headers: set[str]) -> bool:
-    """Whether a line is one of the running lines, misread or not."""
-    forms = header_forms(line)
-    if forms & headers:
-        return True
-    for form in forms:
-        for header in headers:
-            if abs(len(form) - len(header)) <= 2 and len(header) >= 8:
+    folded = [fold(re.sub(r"\d+", "0", w)) for w in regex.findall(r"[\p{L}\p{M}\p{N}]+", look(line))]
+    begun = [0]
+    for w in folded:
+        begun.append(reduce(lambda h, c: (h * _BASE + ord(c)) % _PRIME, w, begun[-1]))
+    size, out, rest = sum(map(len, folded)), [], 0
+    for i in range(len(folded) - 1, -1, -1):
+        shift = pow(_BASE, rest, _PRIME)
+        if len(folded) > 1 and size - len(folded[i]) >= 4:
+            out.append(f"{size - len(folded[i])}.{(begun[i] * shift + begun[-1] - begun[i + 1] * shift) % _PRIME:x}")
+        rest += len(folded[i])
+    return list(dict.fromkeys(out))
+
+
+class Headers:
+    """A document's running lines, to be found in lines that repeat them, misread or not.
+
+    A line that is as good as equal (nine tenths of both are in common) has runs of
+    four characters in common with it; only lines that have enough of these are compared.
+    """
+
+    def __init__(self, forms: Iterable[str]):
+        self.forms = set(forms)
+        self.longest = 2 * max(map(len, self.forms), default=-10) + 20
+        self.lengths = {len(f) for f in self.forms}
+        self.grams: dict[str, list[str]] = {}
+        for form in self.forms:
+            if len(form) >= 8:
+                for gram in {form[i : i + 4] for i in range(len(form) - 3)}:
+                    self.grams.setdefault(gram, []).append(form)
+
+    def may_repeat(self, line: str) -> bool:
+        """Whether a line's length fits one of the forms, with a page number and signs besides.
+
+        Folding takes no more than half of the letters away.
+        """
+        letters = len(re.sub(r"[\W_]+", "", line))
+        return any(h - 2 <= letters <= 2 * h + 8 for h in self.lengths)
+
+    def repeated_by(self, line: str) -> bool:
+        forms = header_forms(line)
+        return bool(forms & self.forms) or any(map(self._near, forms))
+
+    def _near(self, form: str) -> bool:
+        shared = Counter(h for i in range(len(form) - 3) for h in self.grams.get(form[i : i + 4], ()))
+        for header, n in shared.items():
+            both = len(form) + len(header)
+            alike, parts = math.ceil(0.45 * both), int(0.1 * both) + 1
+            if abs(len(form) - len(header)) <= 2 and n >= alike - 3 * parts:
                 if SequenceMatcher(None, form, header, autojunk=False).ratio() >= 0.9:
                     return True
-    return False
-
-
-def _may_repeat(line: str, headers: set[str]) -> bool:
-    """Whether a line's length fits one of the headers, with a page number and signs besides.
-
-    Folding takes no more than half of the letters away.
-    """
-    letters = len(re.sub(r"[\W_]+", "", line))
-    return any(len(h) - 2 <= letters <= 2 * len(h) + 8 for h in headers)
+        return False
 
 
 @dataclass
@@ -184,7 +223,7 @@ class Word:
     sign: str = ""
 
 
-def classify(text: str, headers: set[str], numbers: set[int] | None) -> list[Line]:
+def classify(text: str, headers: Headers, numbers: range | None) -> list[Line]:
     """The lines of a section by kind: text, item, heading, table, code, blank, header, page_number.
 
     ``numbers`` are those printed on the section's pages; without them, only numbers
@@ -192,8 +231,7 @@ def classify(text: str, headers: set[str], numbers: set[int] | None) -> list[Lin
     """
     raw = _NEWLINE.split(text)
     lines, fenced = [], False
-    longest = 2 * max(map(len, headers), default=-10) + 20
-    found = [None if not 0 < len(t.strip()) <= 30 else page_number(t) for t in raw]
+    found = [page_number(t) if t.strip() else None for t in raw]
     for i, line in enumerate(raw):
         bare = line.strip()
         if _FENCE.match(line):
@@ -207,7 +245,7 @@ def classify(text: str, headers: set[str], numbers: set[int] | None) -> list[Lin
             lines.append(Line("table" if bare[0] == "|" else "heading", line))
         elif (n := found[i]) is not None and _own_number(n, numbers, i, found):
             lines.append(Line("page_number", line))
-        elif len(bare) <= longest and _may_repeat(bare, headers) and repeats_header(line, headers):
+        elif len(bare) <= headers.longest and headers.may_repeat(bare) and headers.repeated_by(line):
             lines.append(Line("header", line))
         else:
             lines.append(Line("item" if _ITEM.match(line) else "text", line))
@@ -228,7 +266,7 @@ def _listed(lines: list[Line]) -> list[int]:
     return out
 
 
-def _own_number(n: tuple[int, bool], numbers: set[int] | None, at: int, found: list) -> bool:
+def _own_number(n: tuple[int, bool], numbers: range | None, at: int, found: list) -> bool:
     value, plain = n
     if numbers:
         return value in numbers
@@ -291,39 +329,95 @@ def plain(word: str) -> str:
     return look(word).lower().replace("\u2019", "'")
 
 
-def candidates(word: str, depth: int = DEPTH) -> dict[str, tuple[int, ...]]:
-    """What may have been printed for a word: candidate -> the confusions it takes, fewest first."""
-    found: dict[str, tuple[int, ...]] = {word: ()}
-    edge = [word]
-    for _ in range(depth):
-        following = []
-        for w in edge:
-            for k, (real, seen) in enumerate(CONFUSIONS):
-                at = w.find(seen)
-                while at >= 0:
-                    new = w[:at] + real + w[at + len(seen) :]
-                    if new not in found:
-                        found[new] = (*found[w], k)
-                        following.append(new)
-                    at = w.find(seen, at + 1)
-        edge = following
-    return found
+def _skeletons() -> dict[int, str]:
+    """For each character that is confused, a text that it shares with all it is confused with.
+
+    Every confusion is an equation of two texts. One side without what both begin and
+    end with is a single character; it is written as the other from then on.
+    """
+    written: dict[str, str] = {}
+    left = [pair for pair in CONFUSIONS]
+    while left:
+        a, b = ("".join(written.get(c, c) for c in text) for text in left.pop())
+        while a and b and a[0] == b[0]:
+            a, b = a[1:], b[1:]
+        while a and b and a[-1] == b[-1]:
+            a, b = a[:-1], b[:-1]
+        if a == b:
+            continue
+        one, other = (a, b) if len(a) == 1 else (b, a)
+        if len(one) != 1 or one in other:
+            raise ValueError(f"these confusions leave no common form: {a} {b}")
+        written = {c: text.replace(one, other) for c, text in written.items()} | {one: other}
+    return {ord(c): text for c, text in written.items()}
+
+
+_SKELETON = _skeletons()
+
+
+def skeleton(word: str) -> str:
+    """Equal for a word and whatever recognition makes of it."""
+    return word.translate(_SKELETON)
+
+
+def _skeleton_of(word: Column) -> Column:
+    """The same in the JVM; what characters are written as isn't rewritten again."""
+    return reduce(lambda text, c: F.replace(text, F.lit(chr(c)), F.lit(_SKELETON[c])), _SKELETON, word)
+
+
+_RULES: dict[str, list[tuple[int, str, str]]] = {}
+for _k, (_real, _seen) in enumerate(CONFUSIONS):
+    _RULES.setdefault(_real[0], []).append((_k, _real, _seen))
+
+
+def confused(real: str, seen: str) -> tuple[int, ...] | None:
+    """The fewest confusions that make ``seen`` of ``real``, every printed character being misread once at most; None where none do."""
+    ways: list[dict[int, tuple[int, ...]]] = [{} for _ in range(len(real) + 1)]
+    ways[0][0] = ()
+
+    def reach(i: int, j: int, how: tuple[int, ...]) -> None:
+        known = ways[i].get(j)
+        if known is None or (len(how), how) < (len(known), known):
+            ways[i][j] = how
+
+    for i, c in enumerate(real):
+        for j, how in ways[i].items():
+            if seen.startswith(c, j):
+                reach(i + 1, j + 1, how)
+            for k, printed, read in _RULES.get(c, ()):
+                if seen.startswith(read, j) and real.startswith(printed, i):
+                    reach(i + len(printed), j + len(read), (*how, k))
+    return ways[-1].get(len(seen))
+
+
+def outweighed(own: int, readings: Iterable[tuple[int, int]]) -> bool:
+    """Whether one of a word's other readings, each a count and its confusions, is likelier than the word seen ``own`` times."""
+    return any(n * PRIOR**k > own for n, k in readings)
 
 
 class Lexicon(dict):
     """The most frequent words with their counts, and for each word whether it is safe.
 
     A word is safe if it is frequent and can't have been another, still more frequent
-    one. The dictionary remembers the answers.
+    one. The dictionary remembers the answers. A word that isn't among them is never safe.
     """
 
-    def __init__(self, head: dict[str, int]):
+    def __init__(self, head: dict[str, int], rivals: dict[str, list[str]] | None = None):
         super().__init__()
         self.head = head
+        if rivals is None:
+            groups: dict[str, list[str]] = {}
+            for word in head:
+                groups.setdefault(skeleton(word), []).append(word)
+            rivals = {key: words for key, words in groups.items() if len(words) > 1}
+        self.rivals = rivals
 
     def __missing__(self, word: str) -> bool:
         own = self.head.get(word, 0)
-        known = own >= SEEN and not any(self.head.get(c, 0) * PRIOR ** len(k) > own for c, k in candidates(word).items() if k)
+        known = own >= SEEN
+        if known:
+            likelier = [c for c in self.rivals.get(skeleton(word), ()) if c != word and self.head[c] * PRIOR > own]
+            known = not outweighed(own, ((self.head[c], len(k)) for c in likelier if (k := confused(c, word))))
         self[word] = known = known or not any(c.isalpha() for c in word)
         return known
 
@@ -338,7 +432,8 @@ def viterbi(line: list[list[tuple[str, float]]], unigram: dict[str, int], pairs:
     """The likeliest words of a line: each position has its candidates with the log probability of their characters."""
 
     def step(before: str | None, word: str) -> float:
-        alone = (unigram.get(word, 0) + 0.01) / total
+        seen = unigram.get(word, 0)
+        alone = (seen + 0.01) / total if seen else min(0.01 / total, max(float(CHARACTERS) ** -len(word), 1e-300))
         if before is None:
             return math.log(alone)
         return math.log((1 - PAIR_SHARE) * alone + PAIR_SHARE * pairs.get((before, word), 0) / (unigram.get(before, 0) + 1))
@@ -362,48 +457,73 @@ def viterbi(line: list[list[tuple[str, float]]], unigram: dict[str, int], pairs:
     return path[::-1]
 
 
-def _edges(pages: DataFrame, furniture: DataFrame) -> DataFrame:
-    """``repo_id, doc_id, page, line, seen``: the outer lines of each page, and the running lines that were recognised."""
+def _edges(pages: DataFrame, depth: int) -> DataFrame:
+    """``repo_id, doc_id, page, line, place, seen`` of the lines that are ``EDGE`` or fewer further in than ``depth`` at either edge of a page.
+
+    ``place`` counts from the edge, up from 0 at the top and down from -1 at the bottom.
+    """
     lines = F.filter(F.split("page_text", r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    outer = F.array_distinct(F.concat(F.slice("l", 1, 3), F.slice(F.reverse("l"), 1, 3)))
+    placed = F.transform("l", lambda x, i: F.struct(x.alias("line"), i.alias("place")))
+    last = F.transform(F.reverse("l"), lambda x, i: F.struct(x.alias("line"), (-1 - i).alias("place")))
+    outer = F.concat(*(F.slice(side, depth + 1, EDGE) for side in (placed, last)))
     own = pages.where("page_text IS NOT NULL AND page IS NOT NULL").select("repo_id", "doc_id", "page", lines.alias("l"))
-    edges = own.select("repo_id", "doc_id", "page", F.explode(outer).alias("line"), F.lit(False).alias("seen"))
-    known = furniture.where("line_text IS NOT NULL").select("repo_id", "doc_id", "page", F.col("line_text").alias("line"), F.lit(True).alias("seen"))
-    return edges.unionByName(known)
+    return own.select("repo_id", "doc_id", "page", F.explode(outer).alias("e")).select("repo_id", "doc_id", "page", "e.line", "e.place", F.lit(False).alias("seen"))
 
 
-def running_lines(pages: DataFrame, furniture: DataFrame) -> DataFrame:
-    """For every scanned document ``repo_id, doc_id, headers, shift, first_page, last_page``.
+def _marks(lines: DataFrame) -> DataFrame:
+    """Of lines that may be running ones ``form``, the folded line, and ``masks``; of page numbers ``shift``, by how much they differ from the page's place.
 
-    ``headers`` are folded running lines: those recognised on a page, those at the
-    edge of two pages or more, and those at one edge that differ from running lines
-    of two other documents in one word and numbers only. ``shift`` is what most
-    pages' printed numbers differ by from their place. Lines are counted before any
-    list is built, so a document of very many pages costs one row for each line that
-    differs.
+    A line that ends like a sentence is none, unless it was recognised as one.
     """
-    schema = "repo_id string, doc_id string, page int, seen boolean, form string, masks array<string>, shift int"
+    schema = "repo_id string, doc_id string, page int, seen boolean, place int, form string, masks array<string>, shift int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for repo, doc, page, line, seen in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "doc_id", "page", "line", "seen"))):
+            for repo, doc, page, line, place, seen in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "doc_id", "page", "line", "place", "seen"))):
                 number = page_number(line)
                 if number:
                     if page is not None:
-                        out.append((repo, doc, page, seen, None, None, number[0] - page))
-                elif seen or (len(line) <= 80 and line.rstrip()[-1] not in ".,;:!?"):
+                        out.append((repo, doc, page, seen, place, None, None, number[0] - page))
+                elif seen or line.rstrip()[-1] not in ".,;:!?":
                     alike = masks(line)
-                    out += [(repo, doc, page, seen, form, alike, None) for form in header_forms(line)]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.int32()]
+                    out += [(repo, doc, page, seen, place, form, alike, None) for form in header_forms(line)]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32()]
             columns = list(zip(*out)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["repo_id", "doc_id", "page", "seen", "form", "masks", "shift"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["repo_id", "doc_id", "page", "seen", "place", "form", "masks", "shift"])
+
+    return lines.mapInArrow(run, schema)
+
+
+def running_lines(pages: DataFrame, furniture: DataFrame) -> DataFrame:
+    """For every scanned document ``repo_id, doc_id, headers, shift, first_page, last_page``.
 
+    ``headers`` are folded running lines: those recognised on a page, those at the
+    edge of two pages or more, and those at one edge that differ from running lines
+    of two other documents in one word and numbers only. ``shift`` is what most
+    pages' printed numbers differ by from their place. Lines are counted before any
+    list is built, so a document of very many pages costs one row for each line that
+    differs. Where an edge consists of nothing but running lines, the lines further
+    in are looked at as well, until no page has such an edge left.
+    """
     doc = ["repo_id", "doc_id"]
-    marks = materialise(_edges(pages, furniture).mapInArrow(run, schema), "edges")
-    forms = marks.where("form IS NOT NULL").groupBy(*doc, "form").agg(F.countDistinct("page").alias("n"), F.max("seen").alias("seen"), F.max("masks").alias("masks"))
+    known = furniture.where("line_text IS NOT NULL AND trim(line_text) <> ''").select(*doc, "page", F.col("line_text").alias("line"), F.lit(None).cast("int").alias("place"), F.lit(True).alias("seen"))
+    marks, near, depth = None, pages, 0
+    while True:
+        lines = _edges(near, depth)
+        new = materialise(_marks(lines.unionByName(known) if marks is None else lines), "edges")
+        marks = new if marks is None else marks.unionByName(new)
+        forms = marks.where("form IS NOT NULL").groupBy(*doc, "form").agg(F.countDistinct("page").alias("n"), F.max("seen").alias("seen"), F.max("masks").alias("masks"))
+        sure = forms.where("seen OR n > 1")
+        depth += EDGE
+        at = [*doc, "page", "place"]
+        own = new.where("NOT seen")
+        running = own.join(sure.select(*doc, "form"), [*doc, "form"], "left_semi").select(*at).unionByName(own.where("shift IS NOT NULL").select(*at)).distinct()
+        full = materialise(running.groupBy(*doc, "page", F.col("place") < 0).agg(F.count("*").alias("n")).where(F.col("n") == EDGE).select(*doc, "page").distinct(), "full")
+        if full.isEmpty():
+            break
+        near = near.join(full, [*doc, "page"], "left_semi").where(F.size(F.split("page_text", r"\r\n|\n|\r")) > depth)
     extent = pages.groupBy(*doc).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
-    sure = forms.where("seen OR n > 1")
     templates = sure.select(*doc, F.explode("masks").alias("mask")).distinct().groupBy("mask").agg(F.count("*").alias("docs")).where("docs > 1").select("mask")
     once = forms.where("NOT seen AND n = 1").select(*doc, "form", F.explode("masks").alias("mask")).join(templates, "mask", "left_semi")
     headers = sure.select(*doc, "form").unionByName(once.select(*doc, "form")).groupBy(*doc).agg(F.collect_set("form").alias("headers"))
@@ -428,8 +548,8 @@ def scanned_sections(sections: DataFrame, pages: DataFrame, furniture: DataFrame
 def corpus_grams(texts: DataFrame, scanned: str, noisy: str, clean: Iterable[str]) -> DataFrame:
     """``a, b, n``: how often each word (``b`` null) and each pair of neighbours occurs.
 
-    Counts all rows: the ``clean`` columns of all of them, and the ``noisy`` one of
-    those that aren't ``scanned``. Each task adds up before anything is shuffled.
+    Counts the ``clean`` columns of all rows, and the ``noisy`` one of those that
+    aren't ``scanned``. Each task adds up before anything is shuffled.
     """
     clean = list(clean)
 
@@ -461,16 +581,23 @@ def corpus_grams(texts: DataFrame, scanned: str, noisy: str, clean: Iterable[str
     return texts.select(scanned, noisy, *clean).mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-_WORD_TYPE = pa.struct([("forms", pa.list_(pa.string())), ("broken", pa.string()), ("suspect", pa.bool_())])
+_WORD_TYPE = pa.struct([("forms", pa.list_(pa.string())), ("broken", pa.string()), ("tail", pa.string()), ("suspect", pa.bool_())])
 
 
 def _forms(word: Word) -> list[str]:
     return [plain(f) for f in (word.forms or (word.text,))]
 
 
-def _broken_form(forms: list[str], head: dict[str, int]) -> str:
+def _broken_form(forms: list[str], counts: dict[str, int]) -> str:
     """The more frequent form of a broken word, and without the hyphen where neither was seen."""
-    return max(forms, key=lambda f: (head.get(f, 0), f == forms[0]))
+    return max(forms, key=lambda f: (counts.get(f, 0), f == forms[0]))
+
+
+def _tail(forms: list[str]) -> str:
+    """The second half of a broken word, of its forms without and with a hyphen."""
+    joined, hyphened = forms
+    cut = next((i for i, (a, b) in enumerate(zip(joined, hyphened)) if a != b), len(joined))
+    return hyphened[cut + 1 :]
 
 
 def parse_sections(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -480,17 +607,17 @@ def parse_sections(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     ``line`` with all words of a line that has one to be decoded; ``size`` with the
     number of words in ``line``.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(lexicon.head)
+    sent = texts.sparkSession.sparkContext.broadcast((lexicon.head, lexicon.rivals))
     names = ["id", "kind", "line", "word", "words"]
     id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[texts.schema["id"].dataType.simpleString()]
-    schema = T.StructType([texts.schema["id"], *T.StructType.fromDDL("kind string, line int, word string, words array<struct<forms: array<string>, broken: string, suspect: boolean>>")])
+    schema = T.StructType([texts.schema["id"], *T.StructType.fromDDL("kind string, line int, word string, words array<struct<forms: array<string>, broken: string, tail: string, suspect: boolean>>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(sent.value)
+        known = Lexicon(*sent.value)
         for batch in batches:
             out = []
             for i, body, headers, low, high in zip(*(batch.column(c).to_pylist() for c in ("id", "body_l3", "headers", "low", "high"))):
-                lines = classify(body, set(headers), set(range(low, high + 1)) if low is not None and high is not None else None)
+                lines = classify(body, Headers(headers), range(low, high + 1) if low is not None and high is not None else None)
                 out += [(i, line.kind, at, "", None) for at, line in enumerate(lines) if line.kind in ("header", "page_number")]
                 size = sum(line.text.count(" ") + 1 for line in lines if line.kind in ("text", "item"))
                 for words in words_of(lines, known.passes):
@@ -502,7 +629,8 @@ def parse_sections(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
                         odd |= suspect
                         if w.forms and not suspect:
                             out.append((i, "broken", w.line, best, None))
-                        entries.append({"forms": forms if suspect else [best], "broken": w.sign or None, "suspect": suspect})
+                        tail = _tail(forms) if suspect and w.sign == "-" else None
+                        entries.append({"forms": forms if suspect else [best], "broken": w.sign or None, "tail": tail, "suspect": suspect})
                     if odd:
                         out.append((i, "line", words[0].line, "", entries))
                 out.append((i, "size", size, "", None))
@@ -514,63 +642,87 @@ def parse_sections(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def _options(lines: DataFrame, unigrams: DataFrame) -> DataFrame:
-    """``form, options``: for every form of a suspicious word, the words of the corpus it may have been."""
-    forms = lines.select(F.explode("words").alias("w")).where("w.suspect").select(F.explode("w.forms").alias("form")).groupBy("form").agg(F.count("*").alias("times"))
+    """``form, times, candidate, confused, n``: for every form of a suspicious word, the words of the corpus it may have been.
+
+    They are those of the same skeleton that confusions lead to it from. ``times`` is
+    how often the form stands unbroken. The second half of a broken word is looked up too.
+    """
+    words = lines.select(F.explode("words").alias("w")).where("w.suspect")
+    asked = F.array_compact(F.concat("w.forms", F.array("w.tail")))
+    forms = words.select(F.explode(asked).alias("form"), F.when(F.col("w.broken").isNull(), 1).otherwise(0).alias("one")).groupBy("form").agg(F.sum("one").alias("times"))
+    keyed = forms.withColumn("skeleton", _skeleton_of(F.col("form")))
+    lettered = unigrams.where(F.col("a").rlike(r"\p{L}")).select(F.col("a").alias("candidate"), "n", _skeleton_of(F.col("a")).alias("skeleton"))
+    alike = keyed.join(lettered, "skeleton").select("form", "times", "candidate", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(f, n, c, list(k)) for f, n in zip(batch.column("form").to_pylist(), batch.column("times").to_pylist()) for c, k in candidates(f).items()]
-            columns = list(zip(*rows)) or [[]] * 4
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["form", "times", "candidate", "confused"])
+            how = [confused(c, f) for c, f in zip(batch.column("candidate").to_pylist(), batch.column("form").to_pylist())]
+            kept = pa.array([k is not None for k in how])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(how, pa.list_(pa.int32()))], names=[*batch.schema.names, "confused"]).filter(kept)
 
-    made = forms.mapInArrow(run, "form string, times long, candidate string, confused array<int>")
-    return made.join(unigrams.select(F.col("a").alias("candidate"), "n"), "candidate").where((F.col("n") >= SEEN) | (F.size("confused") == 0))
+    return alike.mapInArrow(run, "form string, times long, candidate string, n long, confused array<int>")
 
 
 def _rates(options: DataFrame, words: int) -> list[float]:
-    """How often each confusion happens, from the likeliest reading of each suspicious word."""
+    """How often each confusion happens, from the likeliest reading of each suspicious unbroken word."""
     weight = F.log("n") + F.size("confused") * math.log(PRIOR)
-    best = options.groupBy("form", "times").agg(F.max_by("confused", F.struct(weight.alias("w"), "candidate")).alias("confused"))
+    best = options.where("times > 0").groupBy("form", "times").agg(F.max_by("confused", F.struct(weight.alias("w"), "candidate")).alias("confused"))
     uses = {r["k"]: r["n"] for r in best.select(F.explode("confused").alias("k"), "times").groupBy("k").agg(F.sum("times").alias("n")).collect()}
     return [(uses.get(k, 0) + 1) / (words + len(CONFUSIONS)) for k in range(len(CONFUSIONS))]
 
 
+def _choices(words: list[dict], found: list[dict] | None, cost: list[float]) -> list[dict[str, tuple[float, int, bool]]]:
+    """For each word its readings: word -> (log probability of its characters, count, misread).
+
+    A word that turns out safe, by the same rule as those of the lexicon, has one.
+    """
+    out: list[dict[str, tuple[float, int, bool]]] = [{f: (0.0, 0, False) for f in w["forms"][:1]} for w in words]
+    by_place: dict[int, list[dict]] = {}
+    for place in found or ():
+        if place["form"] in words[place["at"]]["forms"]:
+            by_place.setdefault(place["at"], []).append(place)
+    for at, places in by_place.items():
+        counts = {p["form"]: o["n"] for p in places for o in p["options"] if not o["confused"]}
+        best = _broken_form(words[at]["forms"], counts)
+        rivals = [(o["n"], len(o["confused"])) for p in places if p["form"] == best for o in p["options"] if o["confused"]]
+        if counts.get(best, 0) >= SEEN and not outweighed(counts[best], rivals):
+            out[at] = {best: (0.0, counts[best], False)}
+            continue
+        own = out[at]
+        for o in (o for p in places for o in p["options"]):
+            reading = (-sum(cost[k] for k in o["confused"]), o["n"], bool(o["confused"]))
+            if o["candidate"] not in own or own[o["candidate"]][:2] < reading[:2]:
+                own[o["candidate"]] = reading
+    return out
+
+
 def decode_lines(parsed: DataFrame, grams: DataFrame, lexicon: Lexicon, total: int) -> DataFrame:
     """``id, line, at, word, broken, changed`` for each suspicious word, decoded in its line.
 
     ``changed`` tells a misread word. Words that the corpus gives no reading for stay
-    as they are; if broken, they are joined. Pairs with a word that was hardly ever
-    seen tell nothing: a mirrored section would vouch for its own misread words.
+    as they are; if broken, they are joined, unless the hyphen stands for an omitted
+    half, as in pre- and post-: then the corpus often has what follows, but not the
+    two together. Pairs with a word that was hardly ever seen tell nothing: a mirrored
+    section would vouch for its own misread words.
     """
     lines = parsed.where("kind = 'line'").select("id", "line", "words")
     sizes = parsed.where("kind = 'size'").agg(F.sum("line")).collect()[0][0] or 0
     options = materialise(_options(lines, grams.where("b IS NULL")), "options")
     rates = _rates(options, sizes)
     by_form = options.groupBy("form").agg(F.collect_list(F.struct("candidate", "confused", "n")).alias("options"))
-    places = lines.select("id", "line", F.posexplode("words").alias("at", "w")).where("w.suspect").select("id", "line", "at", F.explode("w.forms").alias("form"))
+    places = lines.select("id", "line", F.posexplode("words").alias("at", "w")).where("w.suspect")
+    places = places.select("id", "line", "at", F.explode(F.array_distinct(F.array_compact(F.concat("w.forms", F.array("w.tail"))))).alias("form"))
     found = places.join(by_form, "form").groupBy("id", "line").agg(F.collect_list(F.struct("at", "form", "options")).alias("found"))
     full = materialise(lines.join(found, ["id", "line"], "left"), "lines")
     sent = parsed.sparkSession.sparkContext.broadcast((lexicon.head, rates))
     key = parsed.schema["id"]
 
-    def choices(words: list[dict], found: list[dict] | None, cost: list[float]) -> list[dict[str, tuple[float, int, bool]]]:
-        """For each word its readings: word -> (log probability of its characters, count, misread)."""
-        out: list[dict[str, tuple[float, int, bool]]] = [{f: (0.0, 0, False) for f in w["forms"][:1]} for w in words]
-        for place in found or ():
-            own = out[place["at"]]
-            for o in place["options"]:
-                reading = (-sum(cost[k] for k in o["confused"]), o["n"], bool(o["confused"]))
-                if o["candidate"] not in own or own[o["candidate"]][:2] < reading[:2]:
-                    own[o["candidate"]] = reading
-        return out
-
     def pairs_needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost = [-math.log(r) for r in sent.value[1]]
         for batch in batches:
             rows = set()
             for i, line, words, found in zip(*(batch.column(c).to_pylist() for c in ("id", "line", "words", "found"))):
-                own = choices(words, found, cost)
+                own = _choices(words, found, cost)
                 for left, right in zip(own, own[1:]):
                     if len(left) > 1 or len(right) > 1:
                         rows |= {(i, line, a, b) for a in left for b in right}
@@ -586,15 +738,16 @@ def decode_lines(parsed: DataFrame, grams: DataFrame, lexicon: Lexicon, total: i
         for batch in batches:
             out = []
             for i, line, words, found, pairs in zip(*(batch.column(c).to_pylist() for c in ("id", "line", "words", "found", "pairs"))):
-                own = choices(words, found, cost)
+                own = _choices(words, found, cost)
                 unigram = {w: n or head.get(w, 0) for c in own for w, (_, n, _) in c.items()}
+                tails = {p["at"]: o["n"] for p in found or () if p["form"] == words[p["at"]]["tail"] for o in p["options"] if not o["confused"]}
                 seen = {(p["a"], p["b"]): p["n"] for p in pairs or () if min(unigram.get(p["a"], 0), unigram.get(p["b"], 0)) >= SEEN}
                 path = viterbi([[(w, p) for w, (p, _, _) in c.items()] for c in own], unigram, seen, total)
                 for at, (w, chosen) in enumerate(zip(words, path)):
                     if not w["suspect"]:
                         continue
                     _, n, changed = own[at][chosen]
-                    if w["broken"] and not n and w["broken"] == "-" and _suspended(w["forms"], head):
+                    if w["broken"] == "-" and not n and tails.get(at, 0) >= 10 * SEEN:
                         continue
                     out.append((i, line, at, chosen, bool(w["broken"]), changed))
             columns = list(zip(*out)) or [[]] * 6
@@ -604,23 +757,21 @@ def decode_lines(parsed: DataFrame, grams: DataFrame, lexicon: Lexicon, total: i
     return full.join(counted, ["id", "line"], "left").mapInArrow(run, T.StructType([key, *T.StructType.fromDDL("line int, at int, word string, broken boolean, changed boolean")]))
 
 
-def _suspended(forms: list[str], head: dict[str, int]) -> bool:
-    """Whether a line's last hyphen stands for a word's omitted half, as in pre- and post-.
-
-    So it is if the corpus knows what follows as a word of its own, but not the two together.
-    """
-    joined, hyphened = forms[0], forms[-1]
-    cut = next((i for i, (a, b) in enumerate(zip(joined, hyphened)) if a != b), len(joined))
-    return head.get(hyphened[cut + 1 :], 0) >= 10 * SEEN
+def _head(unigrams: DataFrame, most: int) -> dict[str, int]:
+    """The most frequent words with their counts, at most ``most``; of equally frequent ones all or none."""
+    rows = unigrams.orderBy(F.desc("n"), "a").limit(most + 1).select("a", "n").collect()
+    rarest = rows[-1]["n"] if len(rows) > most else 0
+    return {r["a"]: r["n"] for r in rows if r["n"] > rarest}
 
 
 def _stages(sections: DataFrame, fts: DataFrame, pages: DataFrame, furniture: DataFrame, spans: DataFrame, head: int):
     info = materialise(scanned_sections(sections, pages, furniture, spans), "scanned")
-    texts = fts.join(info.select("id", F.lit(True).alias("scanned")), "id", "left")
-    grams = materialise(corpus_grams(texts, "scanned", "body_l3", ["title", "summary", "body_l2"]), "grams")
+    clean = ["title", "summary", "body_l2"]
+    texts = fts.select("id", "body_l3", *clean).dropDuplicates(["id"]).join(info.select("id").distinct().withColumn("scanned", F.lit(True)), "id", "left")
+    grams = materialise(corpus_grams(texts, "scanned", "body_l3", clean), "grams")
     unigrams = grams.where("b IS NULL")
     total = unigrams.agg(F.sum("n")).collect()[0][0] or 1
-    lexicon = Lexicon({r["a"]: r["n"] for r in unigrams.orderBy(F.desc("n"), "a").limit(head).select("a", "n").collect()})
+    lexicon = Lexicon(_head(unigrams, head))
     bodies = fts.where("body_l3 <> ''").select("id", "body_l3").join(info, "id").dropDuplicates(["id"])
     parsed = materialise(parse_sections(bodies, lexicon), "parsed")
     return bodies, parsed, decode_lines(parsed, grams, lexicon, total), lexicon
@@ -651,7 +802,7 @@ def _cased(word: str, like: str) -> str:
     return word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def rewrite(body: str, headers: set[str], numbers: set[int] | None, fixes: dict[tuple[int, int], str], head: dict[str, int]) -> str:
+def rewrite(body: str, headers: Headers, numbers: range | None, fixes: dict[tuple[int, int], str], head: dict[str, int]) -> str:
     """A section as continuous paragraphs: without noise lines, with whole and right words.
 
     Headings, tables, code and list items stay lines of their own.
@@ -723,8 +874,8 @@ def repair_scans(sections: DataFrame, fts: DataFrame, pages: DataFrame, furnitur
         for batch in batches:
             out = []
             for body, headers, low, high, fixes in zip(*(batch.column(c).to_pylist() for c in ("body_l3", "headers", "low", "high", "fixes"))):
-                numbers = set(range(low, high + 1)) if low is not None and high is not None else None
-                out.append(rewrite(body, set(headers), numbers, {(f["line"], f["at"]): f["word"] for f in fixes or ()}, sent.value))
+                numbers = range(low, high + 1) if low is not None and high is not None else None
+                out.append(rewrite(body, Headers(headers), numbers, {(f["line"], f["at"]): f["word"] for f in fixes or ()}, sent.value))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], names=["id", "body_l3"])
 
     repaired = bodies.join(fixes, "id", "left").mapInArrow(run, T.StructType([fts.schema["id"], T.StructField("body_l3", T.StringType())]))
