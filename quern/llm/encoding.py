@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quern.llm.vocabulary import DEFAULT, FOLDER, load
+from quern.llm.vocabulary import DEFAULT, FOLDER, load, ship
 from quern.session import spread
 
 
@@ -32,6 +32,7 @@ def encode_texts(df: DataFrame, key: str, text: str, name: str = DEFAULT, folder
     they come in; other columns are dropped, whatever they are called; an empty
     table gives an empty table. No shuffle, but for small files: every partition is encoded where it is.
     """
+    ship(df.sparkSession, name, folder)
     key_type = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -55,6 +56,7 @@ def count_tokens(df: DataFrame, keys: Sequence[str], texts: dict[str, str], name
 
     Null and empty texts have none. Every row comes out once; other columns are dropped.
     """
+    ship(df.sparkSession, name, folder)
     schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in texts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ Rows are first put into blocks by a hash that all texts of one look share, so th
 only blocks with more than one spelling are looked at further, and exact copies are
 one row each by then. Within the blocks, look-alikes are mapped and the texts are
 grouped under the accent- and case-sensitive Unicode collation in SQL; the least
-member of each class is its canonical text, and is joined back.
+member of each class, in ordinary characters, is its canonical text, and is joined back.
 """
 
 from __future__ import annotations
@@ -110,28 +110,44 @@ def spellings(df: DataFrame, key: str, fields: Sequence[str]) -> tuple[DataFrame
     return members.select("_key", "field", "digest"), classes
 
 
-def lookalike_pairs(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """``field, id_a, id_b`` for every two rows whose texts look the same without being the same.
+def lookalike_classes(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """``field, class, digest, key``: a row for every row whose text has a look-alike of another spelling.
 
-    Null and empty texts look like nothing; repeated rows count once; rows of equal
-    text are no pair, so exact copies are only paired with other spellings.
+    ``class`` is the same for all texts that look the same, ``digest`` for those that
+    are the same. Null and empty texts look like nothing; repeated rows come out once.
     """
     members, classes = spellings(df, key, fields)
     both = members.join(classes.select("field", "digest", "class"), ["field", "digest"])
-    a, b = both.alias("a"), both.alias("b")
-    same = (F.col("a.field") == F.col("b.field")) & (F.col("a.class") == F.col("b.class"))
-    pairs = a.join(b, same & (F.col("a._key") < F.col("b._key")) & (F.col("a.digest") != F.col("b.digest")))
-    return pairs.select("a.field", F.col("a._key").alias("id_a"), F.col("b._key").alias("id_b")).distinct()
+    return both.select("field", "class", "digest", F.col("_key").alias(key)).distinct()
+
+
+def lookalike_pairs(df: DataFrame, key: str, fields: Sequence[str], each: int = 5_000) -> DataFrame:
+    """``field, id_a, id_b`` for every two rows whose texts look the same without being the same: the classes, seen as pairs.
+
+    Rows of equal text are no pair, so exact copies are only paired with other
+    spellings. A class of very many rows is cut into parts of about ``each``, and
+    every two of its parts are paired by a task of their own.
+    """
+    of = ["field", "class"]
+    members = materialise(lookalike_classes(df, key, fields).withColumnRenamed(key, "_key"), "classes")
+    sizes = members.groupBy(*of).agg(F.ceil(F.count("*") / each).cast("int").alias("parts"))
+    parted = members.join(sizes, of).withColumn("part", F.pmod(F.xxhash64("_key"), F.col("parts")).cast("int"))
+    first = parted.select(*of, "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"), F.col("_key").alias("a"), F.col("digest").alias("da"))
+    second = parted.select(*of, F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("part"), F.col("_key").alias("b"), F.col("digest").alias("db"))
+    within = (F.col("part") != F.col("other")) | (F.col("a") < F.col("b"))
+    pairs = first.join(second, [*of, "part", "other"]).where((F.col("da") != F.col("db")) & (F.col("a") != F.col("b")) & within)
+    return pairs.select("field", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
 def canonical_texts(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """``key, field, canonical`` of every row and field that has text: equal exactly if the texts look equal.
 
     The canonical text of a class is its shortest member in bytes, then the least in
-    binary order; a text without a look-alike is its own. Rows of null or empty text
-    have none. Repeated rows come out once.
+    binary order, written in ordinary characters; so is a text without a look-alike,
+    so that it stays the same when one comes. Rows of null or empty text have none.
+    Repeated rows come out once.
     """
     _, classes = spellings(df, key, fields)
     rows = _long(df, key, fields).withColumn("digest", _digest(F.col("text")))
     joined = rows.join(classes.select("field", "digest", "canonical"), ["field", "digest"], "left")
-    return joined.select(F.col("_key").alias(key), "field", F.coalesce("canonical", "text").alias("canonical")).distinct()
+    return joined.select(F.col("_key").alias(key), "field", look_of(F.coalesce("canonical", "text")).alias("canonical")).distinct()

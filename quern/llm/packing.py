@@ -20,9 +20,9 @@ from pyspark.sql.window import Window
 
 from quern.session import materialise
 
-#: Parts into which the items of one size are split for ranking, so that a size that
-#: a third of all items share is ranked by many tasks.
-SALTS = 256
+#: The items of one size are ranked in parts of about so many, so that a size that a
+#: third of all items share is ranked by many tasks; at least so many parts.
+EACH, LEAST_PARTS = 500_000, 256
 
 
 class OpenBins:
@@ -113,7 +113,9 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     whole = items.select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_all")).where(F.col("_all") > 0)
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_all") - 1) / cap))).alias("piece")
     cut = whole.select("_key", "_all", piece).select("_key", "piece", F.least(cap, F.col("_all") - F.col("piece") * cap).alias("_size"))
-    pieces = materialise(cut.withColumn("_salt", F.pmod(F.xxhash64("_key", "piece"), F.lit(SALTS)).cast("int")), "pieces")
+    pieces = materialise(cut, "pieces")
+    parts = max(LEAST_PARTS, pieces.count() // EACH)
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_key", "piece"), F.lit(parts)).cast("int"))
     spark = items.sparkSession
 
     counts = pieces.groupBy("_size", "_salt").count()

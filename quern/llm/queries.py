@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.encoding import count_tokens, encode_texts
-from quern.llm.lookalikes import canonical_texts, lookalike_pairs
+from quern.llm.lookalikes import canonical_texts, lookalike_classes, lookalike_pairs
 from quern.llm.packing import pack
 from quern.llm.reading import reading_bands
 from quern.llm.scans import repair_scans, scan_noise
@@ -53,6 +53,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "fts"), "id", ["body_l2", "body_l3"])
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose text has a look-alike, with the class of all that look the same."""
+    classes = lookalike_classes(table(spark, sf_dir, "fts"), "id", ["body_l2", "body_l3"])
+    return classes.select("field", F.hex("class").alias("class"), F.hex("digest").alias("digest"), "id")
+
+
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one consistent form of every text."""
     return canonical_texts(table(spark, sf_dir, "fts"), "id", ["body_l2", "body_l3"])
@@ -79,6 +85,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_canonical, p4_budget, p6_ids, p7_containers, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_classes, p3_canonical, p4_budget, p6_ids, p7_containers, p8_found)}
 
 ORACLE: dict[str, str] = {}

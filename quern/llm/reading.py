@@ -28,7 +28,8 @@ SHARES = (0.90, 0.95)
 #: Words of running prose from which a document has a reading level.
 LEAST_WORDS = 30
 #: Words by language that are sent to all tasks. A document that they don't cover gets
-#: its ranks from the whole vocabulary by a join, so the bound changes no result.
+#: its ranks from the whole vocabulary by a join, so the bound changes no rank. A
+#: document's language is judged by these words alone: a fit of bounded size.
 HEAD = 50_000
 #: Labelled documents the calibration is fitted on at most, chosen by the hash of their id.
 SAMPLE = 200_000
@@ -149,7 +150,8 @@ def with_language(profile: DataFrame, head: int = HEAD) -> DataFrame:
 
     Frequencies come from the documents that declare a language; what a single row
     declares, wrongly or not, does not decide its own. Without any declaration all
-    documents are of one unknown language.
+    documents are of one unknown language. Only the ``head`` most frequent words of
+    each language are compared; all others count alike for every language.
     """
     known = _head(with_ranks(_word_counts(profile, "declared")), head)
     codes = sorted(known)
@@ -244,8 +246,13 @@ def coverage(profile: DataFrame, head: int = HEAD, shares: tuple[float, ...] = S
     steps = met.groupBy(*kept, "_text").agg(by_rank.alias("r"))
 
     def reached(share: float):
-        sums = F.transform("r", lambda x, i: F.struct(F.aggregate(F.slice("r", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("n"), x["rank"].alias("rank")))
-        return F.element_at(F.filter(sums, lambda s: s["n"] >= F.lit(share) * F.col("n_words")), 1)["rank"]
+        begun = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("rank"))
+
+        def step(sums, x):
+            n = sums["n"] + x["n"]
+            return F.struct(n.alias("n"), F.when(sums["rank"].isNull() & (n >= F.lit(share) * F.col("n_words")), x["rank"].cast("long")).otherwise(sums["rank"]).alias("rank"))
+
+        return F.aggregate("r", begun, step)["rank"]
 
     far = steps.select(*kept, *[reached(s).cast("long").alias(n) for s, n in zip(shares, names)])
     return done.where(~missing).unionByName(far)

@@ -47,7 +47,8 @@ def bisect_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, in
     the one nearest to its middle, and both halves again. As a part is only cut at a
     weaker kind once it has no stronger one, the weakest kind by which a part of more
     than ``limit`` characters (outer blanks not counted) was cut tells how fine the
-    cutting has to be at least. Neighbours that fit together are joined again.
+    cutting has to be at least. Neighbours that fit together are joined again, but
+    not across a boundary stronger than those at their ends.
     """
     places, done, needed = boundaries(text), [], 0
     parts = [(0, len(text), 0)]
@@ -70,13 +71,24 @@ def bisect_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, in
         if high - low > limit:
             needed = max(needed, k)
         parts += [(cut, end, kind), (start, cut, k)]
-    joined = [done[0]]
-    for start, end, kind in done[1:]:
-        if end - joined[-1][0] <= limit - overlap:
-            joined[-1] = (joined[-1][0], end, kind)
+    return _joined(done, limit - overlap), needed
+
+
+def _joined(parts: list[tuple[int, int, int]], limit: int) -> list[tuple[int, int, int]]:
+    """Neighbouring parts that fit together as one, unless the boundary between them is stronger than one at their ends.
+
+    So a stronger boundary is never passed over while the text is cut at a weaker one beside it.
+    """
+    out, begins = [parts[0]], 0
+    for start, end, kind in parts[1:]:
+        before, _, inner = out[-1]
+        ends = kind if end < parts[-1][1] else 0
+        if end - before <= limit and inner >= max(begins, ends):
+            out[-1] = (before, end, kind)
         else:
-            joined.append((start, end, kind))
-    return joined, needed
+            out.append((start, end, kind))
+            begins = inner
+    return out
 
 
 def overlap_start(text: str, start: int, overlap: int) -> int:

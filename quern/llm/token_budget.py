@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.encoding import count_tokens
 from quern.llm.vocabulary import DEFAULT, FOLDER
-from quern.operators.snapshots import current_sections
+from quern.operators.snapshots import clean_text, current_sections
 
 #: The slice of documents that have no tag of a kind.
 UNTAGGED = "untagged"
@@ -20,7 +20,7 @@ def token_budget(sections: DataFrame, fts: DataFrame, doc_tags: DataFrame, name:
     and ``domain``; repo_id and doc_id are '' where a slice spans several. Sections
     are those of the last snapshot, each once; a section without text, or with null
     or empty text, counts with no tokens. Tags are compared in lower case without
-    outer blanks and once a document, so that a document with two domains is whole in both and a
+    outer white space and once a document, so that a document with two domains is whole in both and a
     repeated tag adds nothing; documents without one are the slice ``untagged``.
     Repeated rows of ``fts`` count once (of different texts under one id, the one
     with more tokens). Tokens are added up by document before anything is joined to
@@ -31,7 +31,7 @@ def token_budget(sections: DataFrame, fts: DataFrame, doc_tags: DataFrame, name:
     sizes = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_l2", "tokens_l3")]
     docs = current_sections(sections).join(by_id, "id", "left").groupBy("repo_id", "doc_id").agg(F.count("*").alias("n_sections"), *sizes)
 
-    tag = F.lower(F.trim("tag"))
+    tag = F.lower(clean_text(F.col("tag")))
     tags = doc_tags.where(tag.startswith("lang-") | tag.startswith("dom-")).select(F.col("repo_id").alias("_repo"), F.col("doc_id").alias("_doc"), tag.alias("tag"))
     by_doc = tags.groupBy("_repo", "_doc").agg(F.collect_set("tag").alias("tags"))
     tagged = docs.join(by_doc, F.col("repo_id").eqNullSafe(F.col("_repo")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")

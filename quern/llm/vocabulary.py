@@ -16,6 +16,8 @@ from pathlib import Path
 
 import ahocorasick
 import regex
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 #: How the byte-level vocabularies cut text before pairs are merged.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -167,8 +169,16 @@ class _Memory(dict):
             self.clear()
 
 
+def ship(spark: SparkSession, name: str = DEFAULT, folder: str = FOLDER) -> None:
+    """Send the vocabulary file to all executors, whether or not they have the folder."""
+    path = Path(folder, f"{name}.tiktoken")
+    if not any(own.endswith(f"/{path.name}") for own in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(str(path))
+
+
 @cache
 def load(name: str = DEFAULT, folder: str = FOLDER) -> Vocabulary:
-    """The vocabulary of ``<folder>/<name>.tiktoken``, once for each worker process."""
-    lines = Path(folder, f"{name}.tiktoken").read_bytes().splitlines()
+    """The vocabulary of ``<folder>/<name>.tiktoken``, or of the file that was sent, once for each worker process."""
+    path = Path(folder, f"{name}.tiktoken")
+    lines = (path if path.exists() else Path(SparkFiles.get(path.name))).read_bytes().splitlines()
     return Vocabulary({base64.b64decode(token): int(i) for token, i in (line.split() for line in lines if line)})

@@ -7,7 +7,7 @@ import unicodedata
 import pytest
 
 pytest.importorskip("quern.llm")
-from quern.llm.lookalikes import canonical_texts, look, lookalike_pairs  # noqa: E402
+from quern.llm.lookalikes import canonical_texts, look, lookalike_classes, lookalike_pairs  # noqa: E402
 
 RNG = random.Random(2)
 BASE = ["Đường file naïve 2² A-b TM", "plan offen µ 12", "the team", "ếch ộp"]
@@ -46,6 +46,10 @@ def test_pairs_equal_all_pairs_by_look(spark):
             if x[n] and y[n] and x[n] != y[n] and look(x[n]) == look(y[n]) and x[0] < y[0]:
                 want.add((field, x[0], y[0]))
     assert len(got) == len(set(got)) and set(got) == want and want
+    assert {tuple(r) for r in lookalike_pairs(df, "id", ["a", "digest"], each=3).collect()} == want
+    classes = [tuple(r) for r in lookalike_classes(df, "id", ["a", "digest"]).collect()]
+    assert len(classes) == len(set(classes))
+    assert {(f, k) for f, _, _, k in classes} == {(f, k) for f, a, b in want for k in (a, b)}
 
 
 def test_canonical_is_equal_exactly_if_looks_are(spark):
@@ -57,6 +61,7 @@ def test_canonical_is_equal_exactly_if_looks_are(spark):
     for (p, x), (q, y) in itertools.combinations(texts.items(), 2):
         if p[1] == q[1]:
             assert (got[p] == got[q]) == (look(x) == look(y))
+    assert all(got[p] == look(x) for p, x in texts.items())
 
 
 def test_nothing_to_find(spark):

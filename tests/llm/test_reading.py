@@ -47,6 +47,12 @@ def test_head_changes_nothing(spark):
     assert sorted(map(tuple, R.reading_bands(d, l, head=2).collect())) == sorted(map(tuple, R.reading_bands(d, l).collect()))
 
 
+def test_ranks_by_join_equal_those_of_the_head(spark):
+    _, docs, labels = corpus(60)
+    spoken = R.with_language(R.profiles(frames(spark, docs, labels)[0]))
+    assert {tuple(r) for r in R.coverage(spoken, head=1).collect()} == {tuple(r) for r in R.coverage(spoken).collect()}
+
+
 def test_no_documents_or_labels(spark):
     _, docs, labels = corpus(10)
     d, l = frames(spark, docs, labels)

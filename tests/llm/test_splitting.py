@@ -54,6 +54,13 @@ def test_operator_cases(spark):
     assert split_oversized(df.limit(0), ["k"], "text").count() == 0
 
 
+def test_strong_boundaries_are_not_passed_over():
+    sentence = "This is one of many sentences. "
+    text = "Short one.\n\n" + (sentence * 180).strip() + "\n\nShort two."
+    spans, _ = bisect_text(text, 2000, 200)
+    assert {a for a, _, _ in spans} >= {text.index("This"), text.index("Short two")}
+
+
 def test_bad_overlap(spark):
     with pytest.raises(ValueError):
         split_oversized(spark.createDataFrame([], "k string, t string"), ["k"], "t", 10, 10)
