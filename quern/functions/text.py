@@ -11,6 +11,18 @@ from pyspark.sql import types as T
 
 #: A token: letters and numbers, nothing else.
 TOKEN = r"[\p{L}\p{N}]+"
+#: White space at either end of a text.
+OUTER = r"(?U)^\s+|\s+$"
+
+
+def _single_accents() -> tuple[str, str]:
+    """Small letters that are one of a to z with a single mark, and those without it."""
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x1F00)}
+    found = {c: d[0] for c, d in parts.items() if len(d) == 2 and "a" <= d[0] <= "z" and unicodedata.combining(d[1])}
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, BARE = _single_accents()
 
 
 @F.pandas_udf(T.StringType())
@@ -19,6 +31,12 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+@F.pandas_udf(T.StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Compatibility composition. Null stays null, plain ASCII is passed through."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc_casefold(texts: pd.Series) -> pd.Series:
     """Compatibility composition and full case folding."""
@@ -36,6 +54,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def search_tokens(text: Column) -> Column:
+    """Tokens as the index holds them: letters with a single accent count as those without, letters with two, and đ, as their own."""
+    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, BARE), F.lit(f"({TOKEN})"), F.lit(1))
+
+
 def token_estimate(text: Column) -> Column:
     """About four characters a token, rounded up; null and '' have none."""
     return F.floor((F.coalesce(F.char_length(text), F.lit(0)) + 3) / 4).cast("long")
@@ -48,7 +71,7 @@ def slug(text: Column) -> Column:
 
 def slug_id(text: Column, longest: int = 40) -> Column:
     """Words of any script joined by hyphens, in lower case, cut to ``longest`` characters without a hyphen at the end."""
-    joined = F.lower(F.regexp_replace(F.regexp_replace(nfkc_casefold(text), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", ""))
+    joined = F.regexp_replace(F.regexp_replace(F.lower(nfkc(text)), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
     return F.regexp_replace(F.substring(joined, 1, longest), "-+$", "")
 
 
@@ -71,14 +94,15 @@ def content_digest(*parts: Column) -> Column:
 def snippet(text: Column, terms: Column, around: int = 150) -> Column:
     """The text around the first occurrence of the first term that occurs, with … where it is cut; null if none does.
 
-    Terms are looked for as parts of words, whatever the letter case.
+    Terms are looked for as parts of words, whatever the letter case; the window has
+    no white space at its ends.
     """
     low = F.lower(text)
     first = F.try_element_at(F.filter(terms, lambda t: F.instr(low, t) > 0), F.lit(1))
     at = F.call_function("instr", low, first)
     start = F.greatest(F.lit(1), at - around)
     end = F.least(F.char_length(text), at + F.char_length(first) - 1 + around)
-    cut = F.substring(text, start, end - start + 1)
+    cut = F.regexp_replace(F.substring(text, start, end - start + 1), OUTER, "")
     return F.when(first.isNotNull(), F.concat(F.when(start > 1, F.lit("…")).otherwise(F.lit("")), cut, F.when(end < F.char_length(text), F.lit("…")).otherwise(F.lit(""))))
 
 

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.operators import index, vectors
 from quern.operators import search as s
 from quern.operators.snapshots import current_sections
-from quern.session import spread
+from quern.plans.search_oracle import ORACLE  # noqa: F401
+from quern.session import shared_folder, spread
 from quern.sources import table
+from quern.sources.sinks import stamp
 
 #: Weights of the index's columns.
 WEIGHTS = {"title": 4.0, "summary": 2.0, "body_l2": 1.5, "body_l3": 1.0}
 #: Queries are the rows whose id is divisible by this: a section's title and summary, and a row's vector.
 EVERY = 100
-#: The four queries that the SQL below still asks: id, text, and the row whose vector stands for the text's.
-ASKED = [(1, "ledger snapshot of the grant ceiling", 1), (2, "Báo cáo văn phòng", 7), (3, "interopérabilités des budgets budgets", 42), (4, "zzz nowhere", 100)]
 BUDGET = 2000
+TAGS = [" Lang-VI", "dom-hr"]
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,31 +33,70 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> s.Index:
+    """The kept index of the sections' texts, brought up to date if its table was written since."""
+    fts = table(spark, sf_dir, "fts")
+    source = f"{sf_dir.rstrip('/')}/fts.parquet"
+    path = f"{shared_folder(spark)}/quern-index/{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+    return index.sync(fts, path, "id", WEIGHTS, s.search_rows, stamp(spark, source))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id`` of the sections whose document has one of the tags."""
+    return s.tagged(current_sections(table(spark, sf_dir, "sections")), ["repo_id", "doc_id"], table(spark, sf_dir, "doc_tags"), TAGS).select("id")
+
+
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.keyword_leg(s.search_rows(table(spark, sf_dir, "fts")), "id", WEIGHTS, _asked(spark, sf_dir))
+    return s.keyword_leg(_index(spark, sf_dir), _asked(spark, sf_dir))
 
 
-def _semantic(spark: SparkSession, sf_dir: str, floor: float | None = s.FLOOR) -> DataFrame:
+def _semantic(spark: SparkSession, sf_dir: str, floor: float | None = s.FLOOR, k: int = s.LEG) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return s.neighbours(rows, "id", "embedding", _vectors(spark, sf_dir), floor=floor)
+    return s.neighbours(rows, "id", "embedding", _vectors(spark, sf_dir), k, floor)
+
+
+def _results(spark: SparkSession, sf_dir: str, keyword: DataFrame) -> DataFrame:
+    """What a search gives: both legs fused, the sections they name that have a condensed text, and the token budget."""
+    fused = s.fuse({"keyword": keyword, "semantic": _semantic(spark, sf_dir)}, "id")
+    texts = table(spark, sf_dir, "fts").where("body_l2 <> ''").dropDuplicates(["id"]).select("id", "title", F.col("body_l2").alias("content"), F.coalesce("body_l3", F.lit("")).alias("full"))
+    terms = _asked(spark, sf_dir).select("query_id", tx.tokens(F.col("text")).alias("terms"))
+    named = fused.join(current_sections(table(spark, sf_dir, "sections")), "id").join(texts, "id").join(terms, "query_id", "left")
+    low = F.lower("content")
+    looked = (F.col("mode") != "semantic") & ~F.exists("terms", lambda t: F.instr(low, t) > 0)
+    shown = named.withColumn("snippet", F.when(looked, tx.snippet(F.col("full"), F.col("terms"))))
+    size = tx.token_estimate(F.col("content")) + tx.token_estimate(F.col("snippet"))
+    return s.within_budget(shown, size, BUDGET)
 
 
 def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inverted index: how often each token occurs in each column of each section."""
+    """How often each token occurs in each column of each section."""
     return s.postings(s.search_rows(table(spark, sf_dir, "fts")), "id", WEIGHTS)
 
 
+def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kept index of sections without full texts, and of others that are gone by now, brought up to date: its postings."""
+    fts = table(spark, sf_dir, "fts")
+    path = f"{shared_folder(spark)}/quern-index/refreshed-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    before = fts.withColumn("body_l3", F.lit("")).unionByName(fts.withColumn("id", -1 - F.col("id")))
+    index.sync(before, path, "id", WEIGHTS, s.search_rows)
+    return index.sync(fts, path, "id", WEIGHTS, s.search_rows).postings.select("id", "token", "f", "dl")
+
+
 def bm25_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyword leg."""
     return _keyword(spark, sf_dir).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def folded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches for words without their accents: those with one accent are found, those with two are not."""
+    asked = spark.createDataFrame([(1, "phep"), (2, "ech"), (3, "Securite"), (4, "prufung")], "query_id long, text string")
+    return s.keyword_leg(_index(spark, sf_dir), asked).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def tag_filtered_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keyword leg over sections whose document has a tag, filtered before the ranking."""
-    keys = ["repo_id", "doc_id"]
-    held = s.tagged(current_sections(table(spark, sf_dir, "sections")), keys, table(spark, sf_dir, "doc_tags"), [" Lang-VI", "dom-hr"]).select("id")
-    rows = s.search_rows(table(spark, sf_dir, "fts")).join(held.distinct(), "id", "left_semi")
-    return s.keyword_leg(rows, "id", WEIGHTS, _asked(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    """The keyword leg over sections whose document has a tag, filtered before the cut."""
+    leg = s.keyword_leg(_index(spark, sf_dir), _asked(spark, sf_dir), only=_tagged(spark, sf_dir))
+    return leg.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def knn_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,20 +109,31 @@ def knn_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _semantic(spark, sf_dir).select("query_id", "id", F.round(1 / (1 + F.col("distance")), 6).alias("similarity"), "rank")
 
 
+def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector leg with a filter behind it: four times as many rows are fetched, those of one label kept and cut to 50."""
+    label = table(spark, sf_dir, "embeddings").where("label = 1").select(F.col("vec_id").alias("id"))
+    leg = _semantic(spark, sf_dir, None, s.OVERFETCH * s.LEG)
+    return s.after_cut(leg, "id", label).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def knn_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector leg by lists around centroids: nearly the nearest, of a part of the rows."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    lists = vectors.lists(rows, "id", "embedding")
+    return vectors.search_lists(lists, _vectors(spark, sf_dir)).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both legs fused by rank."""
-    fused = s.fuse({"keyword": _keyword(spark, sf_dir), "semantic": _semantic(spark, sf_dir, None)}, "id")
+    fused = s.fuse({"keyword": _keyword(spark, sf_dir), "semantic": _semantic(spark, sf_dir)}, "id")
     return fused.select("query_id", "id", F.round("score", 9).alias("score"), "mode", "rank")
 
 
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: both legs, fusion, the sections they name, and the token budget."""
-    fused = s.fuse({"keyword": _keyword(spark, sf_dir), "semantic": _semantic(spark, sf_dir, None)}, "id")
-    texts = table(spark, sf_dir, "fts").dropDuplicates(["id"]).select("id", "title", F.coalesce("body_l2", F.lit("")).alias("content"))
-    named = fused.join(current_sections(table(spark, sf_dir, "sections")), "id").join(texts, "id")
-    kept = s.within_budget(named, tx.token_estimate(F.col("content")), BUDGET)
+    """The flagship: both legs, fusion, the sections they name, what surrounds a hit, and the token budget."""
     cited = tx.citation(F.col("repo_id"), F.col("doc_id"), F.col("section_id"), F.lit(""))
-    return kept.select("query_id", "rank", "id", F.round("score", 9).alias("score"), "mode", "title", cited.alias("citation"), "tokens")
+    kept = _results(spark, sf_dir, _keyword(spark, sf_dir))
+    return kept.select("query_id", "rank", "id", F.round("score", 9).alias("score"), "mode", "title", cited.alias("citation"), F.coalesce("snippet", F.lit("")).alias("snippet"), "tokens")
 
 
 def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +153,13 @@ def snippet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truncation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a leg was cut at its limit."""
-    return s.truncated({"keyword": _keyword(spark, sf_dir), "semantic": _semantic(spark, sf_dir, None)})
+    return s.truncated({"keyword": _keyword(spark, sf_dir), "semantic": _semantic(spark, sf_dir)})
 
 
 def ambiguity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries whose two best keyword rows can't be told apart."""
-    named = _keyword(spark, sf_dir).join(current_sections(table(spark, sf_dir, "sections")), "id")
-    return s.ambiguous_top(named, ["doc_id", "section_id"])
+    """Queries whose two best results can't be told apart."""
+    keyword = _keyword(spark, sf_dir)
+    return s.ambiguous_top(_results(spark, sf_dir, keyword), keyword, "id", ["doc_id", "section_id"])
 
 
 def missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,80 +176,5 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (
-        index_postings, bm25_top50, tag_filtered_bm25, knn_top50, knn_floor, rrf_hybrid, search_hybrid, budget_cut, snippet_window, truncation_flags, ambiguity_pairs, missing_vectors, token_counts,
-    )
-}
-
-_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')".format
-_ASKED = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {v})" for i, t, v in ASKED) + ") AS a(query_id, text, vec_id)"
-_ROWS = "SELECT id, " + ", ".join(f"nfc_normalize(coalesce({c}, '')) AS {c}" for c in WEIGHTS) + " FROM (SELECT DISTINCT * FROM fts) WHERE id IS NOT NULL"
-_CURRENT = """SELECT repo_id, doc_id, section_id, id FROM (
-    SELECT *, row_number() OVER (PARTITION BY repo_id, doc_id, section_id ORDER BY delivered_at DESC, id DESC) AS rn
-    FROM sections WHERE snapshot_no = (SELECT max(snapshot_no) FROM sections)) WHERE rn = 1"""
-
-
-def _bm25_sql(rows: str) -> str:
-    hits = " UNION ALL ".join(f"SELECT id, unnest({_TOK(c)}) AS token, {w} AS w FROM rows" for c, w in WEIGHTS.items())
-    length = " + ".join(f"len({_TOK(c)})" for c in WEIGHTS)
-    return f"""asked AS ({_ASKED}), rows AS ({rows}),
-    terms AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest({_TOK('text')}) AS token FROM asked) GROUP BY ALL),
-    sized AS (SELECT id, {length} AS dl FROM rows), total AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sized),
-    freq AS (SELECT id, token, sum(w) AS f FROM ({hits}) WHERE token IN (SELECT token FROM terms) GROUP BY ALL),
-    idf AS (SELECT token, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf, avgdl
-            FROM (SELECT token, count(*) AS df FROM freq GROUP BY token), total),
-    scored AS (SELECT query_id, id, sum(times * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
-               FROM freq JOIN sized USING (id) JOIN idf USING (token) JOIN terms USING (token) GROUP BY ALL),
-    keyword AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored) WHERE rank <= 50)"""
-
-
-def _knn_sql(floor: str = "") -> str:
-    return f"""near AS (SELECT a.query_id, e.vec_id AS id, sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS distance
-        FROM embeddings e, ({_ASKED}) a JOIN embeddings q ON q.vec_id = a.vec_id),
-    semantic AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near {floor}) WHERE rank <= 50)"""
-
-
-_FUSED = """fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM (
-        SELECT query_id, id, sum(1.0 / (60 + rank)) AS score, CASE WHEN count(DISTINCT leg) > 1 THEN 'hybrid' ELSE min(leg) END AS mode
-        FROM (SELECT query_id, id, rank, 'keyword' AS leg FROM keyword UNION ALL SELECT query_id, id, rank, 'semantic' FROM semantic) GROUP BY query_id, id))"""
-_FIT = """SELECT *, sum(over_) OVER (PARTITION BY query_id ORDER BY rank) AS past FROM (
-        SELECT *, CASE WHEN row_number() OVER w = 1 OR (sum(tokens) OVER w <= {budget} AND sum(tokens) OVER w - tokens < {budget}) THEN 0 ELSE 1 END AS over_
-        FROM {source} WINDOW w AS (PARTITION BY query_id ORDER BY rank))"""
-_SIZE = "CAST(floor((length(coalesce({}, '')) + 3) / 4) AS BIGINT)".format
-
-ORACLE = {
-    "index_postings": f"WITH rows AS ({_ROWS}) SELECT id, field, token, count(*) AS tf FROM ("
-    + " UNION ALL ".join(f"SELECT id, '{c}' AS field, unnest({_TOK(c)}) AS token FROM rows" for c in WEIGHTS)
-    + ") GROUP BY ALL",
-    "bm25_top50": f"WITH {_bm25_sql(_ROWS)} SELECT query_id, id, round(score, 6) AS score, rank FROM keyword",
-    "tag_filtered_bm25": "WITH "
-    + _bm25_sql(f"{_ROWS} AND id IN (SELECT c.id FROM ({_CURRENT}) c WHERE EXISTS (SELECT 1 FROM doc_tags t WHERE t.repo_id = c.repo_id AND t.doc_id = c.doc_id AND lower(trim(tag)) IN ('lang-vi', 'dom-hr')))")
-    + " SELECT query_id, id, round(score, 6) AS score, rank FROM keyword",
-    "knn_top50": f"WITH {_knn_sql()} SELECT query_id, id, round(distance, 6) AS distance, rank FROM semantic",
-    "knn_floor": f"WITH {_knn_sql('WHERE 1 / (1 + distance) >= 0.6')} SELECT query_id, id, round(1 / (1 + distance), 6) AS similarity, rank FROM semantic",
-    "rrf_hybrid": f"WITH {_bm25_sql(_ROWS)}, {_knn_sql()}, {_FUSED} SELECT query_id, id, round(score, 9) AS score, mode, rank FROM fused",
-    "search_hybrid": f"""WITH {_bm25_sql(_ROWS)}, {_knn_sql()}, {_FUSED},
-    named AS (SELECT f.*, c.repo_id, c.doc_id, c.section_id, t.title, {_SIZE('t.body_l2')} AS tokens
-              FROM fused f JOIN ({_CURRENT}) c USING (id) JOIN (SELECT DISTINCT * FROM fts) t USING (id))
-    SELECT query_id, rank, id, round(score, 9) AS score, mode, title, repo_id || ':' || doc_id || ' §' || section_id AS citation, tokens
-    FROM ({_FIT.format(budget=BUDGET, source='named')}) WHERE past = 0""",
-    "budget_cut": f"""WITH sized AS (SELECT c.repo_id || '/' || c.doc_id AS query_id, id, id AS rank, {_SIZE('body_l2')} AS tokens
-              FROM ({_CURRENT}) c JOIN (SELECT DISTINCT * FROM fts) USING (id))
-    SELECT query_id, id, tokens FROM ({_FIT.format(budget=500, source='sized')}) WHERE past = 0""",
-    "snippet_window": f"""WITH rows AS ({_ROWS}), hit AS (
-      SELECT *, list_filter(['reconciliation', 'mirror', 'báo'], lambda t: contains(lower(body_l3), t))[1] AS term FROM rows
-      WHERE NOT (contains(lower(body_l2), 'reconciliation') OR contains(lower(body_l2), 'mirror') OR contains(lower(body_l2), 'báo'))),
-    placed AS (SELECT *, greatest(1, instr(lower(body_l3), term) - 150) AS a, least(length(body_l3), instr(lower(body_l3), term) + length(term) - 1 + 150) AS b FROM hit WHERE term IS NOT NULL)
-    SELECT id, (CASE WHEN a > 1 THEN '…' ELSE '' END) || substr(body_l3, a, b - a + 1) || (CASE WHEN b < length(body_l3) THEN '…' ELSE '' END) AS snippet FROM placed""",
-    "truncation_flags": f"""WITH {_bm25_sql(_ROWS)}, {_knn_sql()} SELECT query_id, leg, count(*) AS n, count(*) >= 50 AS truncated
-    FROM (SELECT query_id, 'keyword' AS leg FROM keyword UNION ALL SELECT query_id, 'semantic' FROM semantic) GROUP BY query_id, leg""",
-    "ambiguity_pairs": f"""WITH {_bm25_sql(_ROWS)}, named AS (SELECT * FROM keyword JOIN ({_CURRENT}) USING (id))
-    SELECT a.query_id, CASE WHEN a.doc_id = b.doc_id AND a.section_id = b.section_id THEN 'mirrored' ELSE 'score' END AS reason
-    FROM named a JOIN named b ON a.query_id = b.query_id AND a.rank = 1 AND b.rank = 2
-    WHERE (a.doc_id = b.doc_id AND a.section_id = b.section_id) OR round(least(a.score, b.score), 9) >= round(greatest(a.score, b.score), 9)""",
-    "missing_vectors": """SELECT id, coalesce(title, '') || chr(10) || coalesce(summary, '') || (CASE WHEN coalesce(body_l2, '') <> '' THEN chr(10) || substr(body_l2, 1, 500) ELSE '' END) AS text
-    FROM (SELECT DISTINCT * FROM fts) WHERE id NOT IN (SELECT vec_id FROM embeddings)""",
-    "token_counts": f"SELECT token, sum(n) AS n, count(*) AS docs FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_TOK('nfc_normalize(text)')}) AS token FROM documents) GROUP BY ALL) GROUP BY token",
-}
+_FUNCTIONS = [v for v in list(globals().values()) if callable(v) and getattr(v, "__module__", None) == __name__ and not v.__name__.startswith("_")]
+QUERIES = {f.__name__: f for f in _FUNCTIONS}

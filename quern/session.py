@@ -42,10 +42,11 @@ def spread(df: DataFrame, each: int = 32 << 20) -> DataFrame:
 
     For work that takes much more time than moving its rows: a small file can't be
     split among tasks. Inputs of many files, or of more than ``each`` bytes a core,
-    stay where they are. Only looks at the plan; nothing is run.
+    stay where they are. Only looks at the plan; nothing is run, and file names are
+    asked for only where the input is small.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if 2 * len(df.inputFiles()) > cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > each * cores:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > each * cores or 2 * len(df.inputFiles()) > cores:
         return df
     return df.repartition(cores)
 
@@ -75,10 +76,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage like a checkpoint, survives lost executors, is computed once
     only, and what reads it prunes columns and knows its size. The files go when
-    the session's process ends.
+    they are ``dropped`` or ``released``, at the latest when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.parquet(path)
+    if not _stages:
+        atexit.register(release, spark)
+    _stages.append(path)
+    found = spark.read.parquet(path)
+    found._quern_stage = path
+    return found
+
+
+#: The stages that are there, in order.
+_stages: list[str] = []
+
+
+def drop(*stages: DataFrame) -> None:
+    """Delete stages that nothing will read any more; other DataFrames are passed over."""
+    for df in stages:
+        path = getattr(df, "_quern_stage", None)
+        if path in _stages:
+            _stages.remove(path)
+            _forget(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all stages; results that weren't read or written by then can't be any more. For long sessions, between jobs."""
+    while _stages:
+        _forget(spark, _stages.pop())

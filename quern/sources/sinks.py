@@ -12,6 +12,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the complete versions ``v=N`` below a path, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    there = [p.getPath() for p in files.listStatus(root) if p.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in there if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """What tells a written table from a later one: its place, size, number of files and time."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = files.getContentSummary(target)
+    return f"{path} {held.getLength()} {held.getFileCount()} {files.getFileStatus(target).getModificationTime()}"
+
+
 def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
     """Replace just the partitions that ``df`` has rows of; the others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

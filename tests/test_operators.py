@@ -106,7 +106,7 @@ def test_bm25_against_formula(spark):
     docs = [(1, "red red fox", "a"), (2, "blue fox", "red"), (3, "", None), (4, "green", "x y z")]
     df = spark.createDataFrame(docs, "id int, a string, b string")
     asked = spark.createDataFrame([(1, "red fox red"), (2, "none"), (3, None)], "query_id int, text string")
-    got = {(q, i): s for q, i, s in rows(search.bm25(df, "id", {"a": 2.0, "b": 1.0}, asked))}
+    got = {(q, i): s for q, i, s in rows(search.bm25(search.index_of(df, "id", {"a": 2.0, "b": 1.0}), asked))}
     words = {i: ((a or "").split(), (b or "").split()) for i, a, b in docs}
     average = sum(len(a) + len(b) for a, b in words.values()) / 4
     want = {}

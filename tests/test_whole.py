@@ -33,17 +33,6 @@ def whole(spark, duck, name, *cuts):
     return [dict(zip(names, r)) for r in got]
 
 
-@data
-@pytest.mark.parametrize("name", ["knn_top50", "knn_floor", "bm25_top50", "tag_filtered_bm25", "rrf_hybrid", "search_hybrid", "truncation_flags", "ambiguity_pairs"])
-def test_searches_ask_every_hundredth_row(spark, duck, name):  # noqa: F811
-    cuts = [("asked AS (" + search_queries._ASKED, "asked AS (SELECT * FROM " + _TEXTS)] if "bm25" in name or name not in ("knn_top50", "knn_floor") else []
-    if "near AS (" in plans.oracle_sql()[name]:
-        cuts.append((f"({search_queries._ASKED}) a", f"{_VECTORS} a"))
-    got = whole(spark, duck, name, *cuts)
-    if name == "knn_top50":
-        assert {r["query_id"] for r in got} == {0, 100, 200, 300, 400}
-
-
 def test_searches_go_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 3)
     monkeypatch.setattr(search, "PART", 2)
@@ -52,8 +41,9 @@ def test_searches_go_by_blocks(spark, monkeypatch):
     near = search.neighbours(df, "id", "v", df.selectExpr("id AS query_id", "v AS vector"), 2)
     assert sorted((r["query_id"], r["id"]) for r in near.where("rank = 1").collect()) == [(i, i) for i in range(10)]
     asked = df.selectExpr("id AS query_id", "t AS text")
-    every = search.top(search.bm25(df, "id", {"t": 1.0}, asked), "id", [search.F.round("score", 9).desc()], 2)
-    want, got = (sorted((q, i, n, round(s, 9)) for q, i, s, n in x.collect()) for x in (every, search.keyword_leg(df, "id", {"t": 1.0}, asked, 2)))
+    held = search.index_of(df, "id", {"t": 1.0})
+    every = search.top(search.bm25(held, asked), "id", [search.F.round("score", 9).desc()], 2)
+    want, got = (sorted((q, i, n, round(s, 9)) for q, i, s, n in x.collect()) for x in (every, search.keyword_leg(held, asked, 2)))
     assert {r[0] for r in want} == set(range(10))
     assert got == want
 
