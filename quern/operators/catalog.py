@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,12 +15,19 @@ from quern.operators.snapshots import latest_rows
 KINDS = ("kb", "ba", "dev", "tester")
 
 
-def kinds(values: list[str]) -> list[str]:
-    """Kinds in lower case, sorted; an unknown one is an error."""
-    out = {v.strip().lower() for v in values}
-    if unknown := out - set(KINDS):
-        raise ValueError(f"unknown kinds {sorted(unknown)}; there are {list(KINDS)}")
-    return sorted(out)
+#: How the titles of generated documents end.
+PLAN_TITLE, TESTS_TITLE = "— plan", "— tests"
+
+
+def kinds(values: Iterable[str]) -> list[str]:
+    """Which of the kinds are asked for, in alphabetical order; anything else is an error, and nothing asks for nothing."""
+    place = {kind: i for i, kind in enumerate(sorted(KINDS))}
+    asked = [False] * len(place)
+    for value in values:
+        if (name := value.strip().casefold()) not in place:
+            raise ValueError(f"there is no kind {value!r} of repository, only {', '.join(place)}")
+        asked[place[name]] = True
+    return [kind for kind, i in place.items() if asked[i]]
 
 
 def current_docs(docs: DataFrame) -> DataFrame:
@@ -28,15 +37,15 @@ def current_docs(docs: DataFrame) -> DataFrame:
 
 
 def inferred_kinds(docs: DataFrame) -> DataFrame:
-    """``repo_id, inferred``: what a repository's documents tell of its kind; the first rule that holds wins."""
-    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)))
+    """``repo_id, inferred``: what a repository's documents tell of its kind; the first rule that holds wins. Tags are taken as they are written."""
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
 
     def has(*names: str) -> Column:
         return F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains(tags, n))
 
     rule = (
-        F.when(F.col("title").endswith("(Tests)") & has("test", "generated"), 4)
-        .when(F.col("title").endswith("(Plan)") & has("plan", "generated"), 3)
+        F.when(F.col("title").endswith(TESTS_TITLE) & has("test", "generated"), 4)
+        .when(F.col("title").endswith(PLAN_TITLE) & has("plan", "generated"), 3)
         .when((F.col("doc_id").endswith("-code") | F.col("doc_id").endswith("-svc")) & has("code"), 2)
         .otherwise(1)
     )
@@ -45,10 +54,11 @@ def inferred_kinds(docs: DataFrame) -> DataFrame:
 
 
 def current_repos(repos: DataFrame, docs: DataFrame) -> DataFrame:
-    """``repo_id, kind, published_at, fingerprint`` of the last snapshot; a kind that isn't recorded is inferred."""
+    """``repo_id, kind, published_at, fingerprint`` of the last snapshot; a kind that isn't recorded, or isn't one, is inferred."""
     last = repos.select(F.max("snapshot_no")).scalar()
     rows = latest_rows(repos.where(F.col("snapshot_no") == last), ["repo_id"], "delivered_at", ["kind", "published_at", "fingerprint"])
-    kind = F.coalesce(F.nullif(F.lower(F.trim("kind")), F.lit("")), "inferred", F.lit("kb"))
+    recorded = F.lower(F.trim("kind"))
+    kind = F.coalesce(F.when(recorded.isin(*KINDS), recorded), "inferred", F.lit("kb"))
     return rows.join(inferred_kinds(docs), "repo_id", "left").select("repo_id", kind.alias("kind"), "published_at", "fingerprint")
 
 
@@ -90,6 +100,12 @@ def counts_by(rows: DataFrame, key: str, column: str, values: list[str], done: l
     return rows.groupBy(key).agg(*[F.count_if(F.col(column) == v).alias(f"n_{v.lower()}") for v in values], F.count("*").alias("total"), pct.alias("pct"))
 
 
+def without_machine_sections(rows: DataFrame, docs: DataFrame, section: str = "section_id") -> DataFrame:
+    """Rows of sections that people write: not of histories (``hist.…``), nor of documents tagged as generated."""
+    made = docs.where(F.array_contains("tags", "generated")).select("repo_id", "doc_id").distinct()
+    return rows.where(~F.col(section).startswith("hist.")).join(made, ["repo_id", "doc_id"], "left_anti")
+
+
 def held_twice(docs: DataFrame) -> DataFrame:
     """``doc_id, holders`` of ids that more than one repository has."""
     held = docs.select("doc_id", "repo_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("repo_id")).alias("holders"))

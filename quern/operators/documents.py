@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quern.operators.markdown import HEADING, lines_of, unfenced_lines
+from quern.operators.markdown import HEADING, lines_of, outside_fences, unfenced_lines
 
-_ANY_HEADING = re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*$")
+#: A heading of any level.
+ANY_HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t]*$"
 #: Fixed value: how a reference to a section is written.
 REFERENCE = r"^(?:([A-Za-z0-9][A-Za-z0-9._-]*(?:/[A-Za-z0-9][A-Za-z0-9._-]*)*):)?([A-Za-z0-9][A-Za-z0-9._-]*) §?(\S+)$"
 #: Fixed value: marks that end a sentence.
@@ -45,41 +41,24 @@ def body_under(text: Column, heading: str) -> Column:
 def heading_tree(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, at, level, title, parent_at, chars``: every heading outside fences with the heading it is under.
 
-    ``at`` is its line; ``parent_at`` is null at the top; ``chars`` counts what stands
-    below it and before the next heading. Which heading encloses which depends on all
-    before it, so each text is walked once in Python.
+    ``at`` is its line; ``parent_at``, the last heading before it of a level above, is
+    null at the top; ``chars`` counts what stands below it and before the next heading.
+    The last heading of each level is carried along the headings of a text.
     """
-    schema = T.StructType([df.schema[key], *T.StructType.fromDDL("at int, level int, title string, parent_at int, chars int")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owners, out = [], []
-            for row, value in enumerate(batch.column(text).to_pylist()):
-                stack: list[tuple[int, int]] = []
-                fence, current = "", None
-                for at, line in enumerate(re.split(r"\r\n|\n|\r", value or "")):
-                    mark = re.match(r"(`{3,}|~{3,})", line.strip())
-                    if mark and not fence:
-                        fence = mark[1]
-                    elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
-                        fence = ""
-                    head = None if fence or mark else _ANY_HEADING.match(line)
-                    if not head:
-                        if current is not None:
-                            current[4] += len(line)
-                        continue
-                    level = len(head[1])
-                    while stack and stack[-1][0] >= level:
-                        stack.pop()
-                    current = [at, level, head[2], stack[-1][1] if stack else None, 0]
-                    stack.append((level, at))
-                    owners.append(row)
-                    out.append(current)
-            columns = list(zip(*out)) or [()] * 5
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owners, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
-
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema)
+    found = F.filter(outside_fences(F.col(text)), lambda x: x["line"].rlike(ANY_HEADING))
+    heads = F.transform(found, lambda x: F.struct(x["at"].alias("at"), F.length(F.regexp_extract(x["line"], ANY_HEADING, 1)).alias("level"), F.regexp_extract(x["line"], ANY_HEADING, 2).alias("title")))
+    rows = df.where(F.col(text).isNotNull()).select(key, F.transform(lines_of(F.col(text)), lambda x: F.char_length(x)).alias("_sizes"), heads.alias("_h")).where(F.size("_h") > 0)
+    begun = F.struct(F.array_repeat(F.lit(None).cast("int"), 6).alias("last"), F.array().cast("array<int>").alias("above"))
+
+    def step(state: Column, head: Column) -> Column:
+        above = F.array_max(F.slice(state["last"], F.lit(1), head["level"] - 1))
+        last = F.transform(state["last"], lambda x, i: F.when(i == head["level"] - 1, head["at"]).when(i >= head["level"], F.lit(None).cast("int")).otherwise(x))
+        return F.struct(last.alias("last"), F.concat(state["above"], F.array(above)).alias("above"))
+
+    each = rows.withColumn("_above", F.aggregate("_h", begun, step)["above"]).select(key, "_sizes", "_h", "_above", F.posexplode("_h").alias("_n", "_own"))
+    until = F.coalesce(F.get("_h", F.col("_n") + 1)["at"], F.size("_sizes"))
+    below = F.slice("_sizes", F.col("_own.at") + 2, until - F.col("_own.at") - 1)
+    return each.select(key, "_own.at", "_own.level", "_own.title", F.get("_above", F.col("_n")).alias("parent_at"), F.aggregate(below, F.lit(0), lambda s, x: s + x).alias("chars"))
 
 
 def folded(tree: DataFrame, key: str, depth: int = 3, least: int = 800, most: int = 20_000) -> DataFrame:

@@ -27,6 +27,42 @@ def inversions(df: DataFrame, by: list[str], order: list[Column], column: str) -
     return df.withColumn("before", F.last(column, ignorenulls=True).over(w)).where(F.col(column) < F.col("before"))
 
 
+def sibling_inversions(df: DataFrame, by: list[str], order: list[Column], section: str) -> DataFrame:
+    """``by, first_id, second_id``: of each group, the first dotted number that is less than the one before it of the same parent.
+
+    Numbers are compared part by part; what isn't a dotted number is passed over.
+    """
+    numbered = df.where(F.col(section).rlike(r"^\d+(\.\d+)*$"))
+    parent = F.regexp_replace(section, r"\.[^.]*$", "")
+    own = F.transform(F.split(section, r"\."), lambda x: x.cast("decimal(38,0)"))
+    top = F.when(F.instr(section, ".") > 0, parent).otherwise(F.lit(""))
+    w = Window.partitionBy(*by, "_parent").orderBy(*order)
+    marked = numbered.withColumns({"_parent": top, "_own": own}).withColumns({"_before": F.lag("_own").over(w), "_first": F.lag(section).over(w)})
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return marked.where(F.col("_own") < F.col("_before")).withColumn("_nth", nth).where("_nth = 1").select(*by, F.col("_first").alias("first_id"), F.col(section).alias("second_id"))
+
+
+def stable_by_page(df: DataFrame, by: list[str], order: list[Column], page: str, out: str) -> DataFrame:
+    """Adds ``out``: the place from 1 of each row by page, rows without one staying with the row before, and those before any first."""
+    filled = fill_forward(df, by, order, page, "_page")
+    return filled.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(F.coalesce("_page", F.lit(0)), *order))).drop("_page")
+
+
+def part_of_page(items: DataFrame, parts: DataFrame, by: list[str], order: str, page: str, part: str) -> DataFrame:
+    """Adds ``part``: the last part that begins on or before an item's page, never one before its predecessor's.
+
+    Items without a page take the one before, and those before the first part are its.
+    ``parts`` has ``by``, ``page`` and ``part``; parts of a group are in order of their page.
+    """
+    filled = fill_forward(items, by, [F.col(order)], page, "_page")
+    so_far = F.max("_page").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    reached = filled.withColumn("_reached", so_far)
+    points = parts.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(page, part)))
+    first = points.where("_at = 1").select(*by, F.col(part).alias("_first"))
+    met = as_of(reached, points.select(*by, F.col(page).alias("_reached"), "_at", F.col(part).alias("_part")), by, "_reached", "_at", "_part", "_own")
+    return met.join(first, by, "left").withColumn(part, F.coalesce("_own", "_first")).drop("_own", "_first", "_page", "_reached")
+
+
 def sticky(df: DataFrame, by: list[str], order: list[Column], mention: Column, reset: Column, initial: str, out: str) -> DataFrame:
     """Adds ``out``: the last mention up to and with the row; a reset goes back to ``initial``."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

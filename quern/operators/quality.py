@@ -71,17 +71,15 @@ def low_overlap(rows: DataFrame, least: float = OVERLAP_SHARE) -> DataFrame:
 
 
 def transcribed_tables(rows: DataFrame, cells: int = CELLS) -> DataFrame:
-    """``id, sentence, n``: sentences of the condensed prose that quote so many different cells of the section's tables."""
+    """``id, at, n``: sentences of the condensed prose that quote so many different cells of the section's tables as words of their own."""
     parts = F.flatten(F.transform(table_rows(F.coalesce("body_l3", F.lit(""))), lambda r: F.split(r, r"\|")))
     kept = F.array_distinct(F.filter(parts, lambda c: (F.char_length(c) >= 2) & ~F.regexp_replace(c, "[,.%/-]", "").rlike(r"^\p{N}+$")))
     with_cells = rows.select("id", prose(F.col("body_l2")).alias("l2"), kept.alias("cells")).where(F.size("cells") >= cells)
     sentences = with_cells.select("id", "cells", F.posexplode(F.split("l2", r"(?<=[.!?])\s+|\n+")).alias("at", "sentence"))
 
     def quoted(c: Column) -> Column:
-        at = F.call_function("instr", F.col("sentence"), c)
-        before, after = F.substring(F.col("sentence"), at - 1, F.lit(1)), F.substring(F.col("sentence"), at + F.char_length(c), F.lit(1))
-        free = r"^[\p{L}\p{N}_]$"
-        return (at > 0) & ((at == 1) | ~before.rlike(free)) & ~after.rlike(free)
+        literal = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
+        return F.contains(F.col("sentence"), c) & F.call_function("regexp_like", F.col("sentence"), literal)
 
     n = F.size(F.filter("cells", quoted))
     return sentences.select("id", "at", n.alias("n")).where(F.col("n") >= cells)

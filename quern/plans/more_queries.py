@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import plugins
+from quern.functions import text as tx
 from quern.functions.vectors import hash_embedder
 from quern.operators import differences, matching
 from quern.operators.snapshots import current_sections
 from quern.sources import table
-from quern.sources.sinks import sync_actions
+from quern.session import shared_folder
+from quern.sources.sinks import append_new, sync_actions
 from quern.streaming import limits
 
 KEYS = ["repo_id", "doc_id", "section_id"]
@@ -33,20 +37,19 @@ def tag_suggestions(spark, sf_dir):
 
 
 def word_alignment(spark, sf_dir):
-    """How the summary differs from the title, by words."""
-    return matching.alignments(_fts(spark, sf_dir), "id", "title", "summary")
+    """How the condensed text differs from title and summary, by words."""
+    return matching.alignments(_fts(spark, sf_dir).withColumn("head", F.concat_ws(" ", "title", "summary")), "id", "head", "body_l2")
 
 
 def section_facts(spark, sf_dir):
     """Facts that the extractors find in the full texts."""
-    plugins.register(spark)
-    _fts(spark, sf_dir).select("id", "body_l3").createOrReplaceTempView("_facts_of")
-    return spark.sql("SELECT t.id, f.kind, f.value, f.times FROM _facts_of t, LATERAL facts(t.body_l3) f")
+    return plugins.pattern_facts(_fts(spark, sf_dir), "id", "body_l3")
 
 
 def embed_hash(spark, sf_dir):
-    """A deterministic vector for every title, as its length and greatest entry."""
-    rows = _fts(spark, sf_dir).select("id", hash_embedder(64)("title").alias("v"))
+    """A deterministic vector for what is embedded of every section, as its dimension and length."""
+    text = tx.embedding_text(F.col("title"), F.col("summary"), F.col("body_l2"))
+    rows = _fts(spark, sf_dir).select("id", hash_embedder(64)(text).alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     return rows.select("id", F.size("v").alias("dim"), F.round(F.sqrt(norm), 4).alias("length"))
 
@@ -77,9 +80,12 @@ def open_twice(spark, sf_dir):
 
 
 def dedupe_append(spark, sf_dir):
-    """The first event of each user and kind, as an append without repeats keeps it."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).getField("event_id").alias("event_id"))
+    """A ledger to which the purchases were appended, and then all events twice: each is in it once."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    path = f"{shared_folder(spark)}/quern/ledger-{uuid.uuid4().hex}"
+    for part in (e.where("event_type = 'purchase'"), e.unionByName(e)):
+        append_new(part, path, ["event_id"], "event_type")
+    return spark.read.parquet(path).select(*e.columns)
 
 
 def section_listing(spark, sf_dir):
@@ -92,13 +98,7 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 from quern.plans.store_oracle import _FTS, _NOW, _OLD  # noqa: E402
 
-_GRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr(' ' || {0} || ' ', i, 2)))".format
 ORACLE = {
-    "theta_term_match": rf"""SELECT t.term, f.id FROM (SELECT DISTINCT title AS term FROM fts WHERE regexp_matches(title, '^[A-Za-z]+ [A-Za-z]+$')) t JOIN {_FTS} f
-        ON regexp_matches(lower(body_l2), '(^|[^\p{{L}}\p{{N}}_])' || lower(t.term) || '([^\p{{L}}\p{{N}}_]|$)')""",
-    "tag_suggestions": f"""WITH t AS (SELECT DISTINCT lower(trim(tag)) AS tag FROM doc_tags WHERE NOT regexp_matches(lower(trim(tag)), '[0-9]{{6}}')), g AS (SELECT tag, {_GRAMS('tag')} AS g FROM t),
-        s AS (SELECT a.tag, b.tag AS entry, round(2 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) AS score FROM g a JOIN g b ON a.tag <> b.tag AND len(list_intersect(a.g, b.g)) > 0)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY score DESC, entry) AS rank FROM s) WHERE rank <= 3""",
     "section_facts": rf"""WITH f AS (SELECT id, coalesce(body_l3, '') AS t FROM {_FTS}), x AS (SELECT id, 'form' AS kind, unnest(regexp_extract_all(t, '\bFN-\d+\b')) AS value FROM f
         UNION ALL SELECT id, 'reference', unnest(regexp_extract_all(t, '(?:\bNo\.|\bNr\.|\bN°|\bSố)\s?(\d+)', 1)) FROM f UNION ALL SELECT id, 'url', unnest(regexp_extract_all(t, 'https?://[^\s)>\]]+')) FROM f)
         SELECT id, kind, value, CAST(count(*) AS INTEGER) AS times FROM x GROUP BY ALL""",
@@ -108,6 +108,6 @@ ORACLE = {
     "expired_leases": """SELECT user_id, last FROM (SELECT user_id, max(ts) AS seen, arg_max(event_type, row(ts, event_id)) AS last FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY user_id)
         WHERE last <> 'purchase' AND seen <= TIMESTAMP '2024-01-09'""",
     "open_twice": "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) > 1",
-    "dedupe_append": "SELECT user_id, event_type, arg_min(event_id, row(ts, event_id)) AS event_id FROM events GROUP BY ALL",
+    "dedupe_append": "SELECT DISTINCT event_id, user_id, event_type FROM events",
     "section_listing": f"SELECT n.repo_id, n.doc_id, n.section_id, id, length(body_l3) AS chars FROM {_NOW} n JOIN {_FTS} f USING (id)",
 }

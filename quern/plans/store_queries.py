@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.functions import text as tx
 from quern.operators import catalog, differences, graphs, markdown, ordered, quality, usage
@@ -68,8 +69,10 @@ def catalog_counts(spark, sf_dir):
 
 def token_stats(spark, sf_dir):
     """Least, median, mean and greatest size of sections by layer."""
-    size = tx.token_estimate(F.col("body_l3"))
-    return _fts(spark, sf_dir).agg(F.min(size).alias("least"), F.median(size).alias("middle"), F.round(F.avg(size), 6).alias("mean"), F.max(size).alias("most"), F.count("*").alias("n"))
+    texts = {"l1": F.concat_ws("\n", "title", "summary"), "l2": F.col("body_l2"), "l3": F.col("body_l3")}
+    layers = F.explode(F.array(*[F.struct(F.lit(n).alias("layer"), tx.token_estimate(t).alias("size")) for n, t in texts.items()]))
+    each = _fts(spark, sf_dir).select(layers.alias("x")).select("x.*")
+    return each.groupBy("layer").agg(F.min("size").alias("least"), F.median("size").alias("middle"), F.round(F.avg("size"), 6).alias("mean"), F.max("size").alias("most"), F.count("*").alias("n"))
 
 
 def last_publish(spark, sf_dir):
@@ -78,10 +81,9 @@ def last_publish(spark, sf_dir):
 
 
 def ambiguous_ids(spark, sf_dir):
-    """Supplier and customer nations that both have, as ids held twice."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("doc_id"), F.lit("supplier").alias("repo_id"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("doc_id"), F.lit("customer").alias("repo_id"))
-    return catalog.held_twice(s.unionByName(c))
+    """Documents' names that more than one repository has, as ids that tell none of them."""
+    docs = table(spark, sf_dir, "docs")
+    return catalog.held_twice(docs.select(F.lower(F.trim("title")).alias("doc_id"), "repo_id").unionByName(docs.select("doc_id", "repo_id")))
 
 
 def longest_prefix(spark, sf_dir):
@@ -168,8 +170,7 @@ def citation_status(spark, sf_dir):
     s = table(spark, sf_dir, "sections")
     values = {"content_hash": clean_digest(F.col("content_hash"))}
     pinned = latest_rows(s.withColumns(values).withColumnRenamed("snapshot_no", "version"), ["version", *KEYS], "delivered_at", ["content_hash"])
-    refs = pinned.select("version", *KEYS).unionByName(pinned.where("version = 1").select((F.col("version") + 100).alias("version"), *KEYS))
-    return differences.resolve_citations(refs, pinned, _sections(spark, sf_dir))
+    return differences.resolve_citations(pinned.select("version", *KEYS), pinned, _sections(spark, sf_dir))
 
 
 # Ordered rows
@@ -190,6 +191,13 @@ def page_islands(spark, sf_dir):
 
 
 def order_inversions(spark, sf_dir):
+    """On each scanned page, the first numbered heading that stands after a later one of the same chapter."""
+    lines = table(spark, sf_dir, "pdf_pages").distinct().select("repo_id", "doc_id", "page", F.posexplode(markdown.lines_of(F.col("page_text"))).alias("at", "line"))
+    heads = lines.withColumn("section_id", F.regexp_extract("line", r"^(\d+(?:\.\d+)*) \S", 1)).where("section_id <> ''")
+    return ordered.sibling_inversions(heads, ["repo_id", "doc_id", "page"], [F.col("at")], "section_id")
+
+
+def page_inversions(spark, sf_dir):
     """Sections whose page is before that of the section before them."""
     spans = table(spark, sf_dir, "unit_spans").groupBy(*KEYS).agg(F.max("page").alias("page"))
     return ordered.inversions(spans, ["repo_id", "doc_id"], catalog.reading_order(), "page").select(*KEYS, "page", "before")
@@ -267,6 +275,24 @@ def prose_projection(spark, sf_dir):
     return _fts(spark, sf_dir).select("id", markdown.prose(F.col("body_l2")).alias("prose"))
 
 
+def subsections(spark, sf_dir):
+    """The documents' ``###`` units."""
+    return markdown.units(table(spark, sf_dir, "documents"), "doc_id", "text", 3)
+
+
+def section_slices(spark, sf_dir):
+    """The first and second unit of each heading's id, and sub-units where no unit has it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    heads = markdown.lines(docs, "doc_id", "text").withColumn("section_id", F.regexp_extract("line", r"^##+ (\S+)", 1)).where("section_id <> ''")
+    asked = heads.select("doc_id", "section_id").distinct().select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("occurrence"))
+    return markdown.slices(docs, "doc_id", "text", asked).where("body IS NOT NULL")
+
+
+def table_blocks(spark, sf_dir):
+    """The full texts' tables, each as a whole."""
+    return markdown.tables(_fts(spark, sf_dir), "id", "body_l3").withColumn("rows", F.array_join("rows", "\n"))
+
+
 def slugs(spark, sf_dir):
     """Section ids made from titles, in ASCII and in any script."""
     return _fts(spark, sf_dir).select("id", tx.slug(F.col("title")).alias("slug"), tx.slug_id(F.col("title")).alias("slug_id"))
@@ -293,8 +319,8 @@ def overlap_share(spark, sf_dir):
 
 
 def transcribed_tables(spark, sf_dir):
-    """Sentences that quote a table."""
-    return quality.transcribed_tables(_fts(spark, sf_dir))
+    """Sentences that quote two or more different cells of their section's tables."""
+    return quality.transcribed_tables(_fts(spark, sf_dir), 2)
 
 
 def shingle_coverage(spark, sf_dir):
@@ -308,8 +334,10 @@ def shingle_runs(spark, sf_dir):
 
 
 def digest_drift(spark, sf_dir):
-    """Sections whose text isn't the recorded one."""
-    return quality.digest_drift(_sections(spark, sf_dir).withColumn("content_hash", F.lower(F.hex("content_hash"))).withColumn("content_hash", F.substring("content_hash", 3, 64)), table(spark, sf_dir, "fts"))
+    """Sections whose text, read with line feeds only, isn't the recorded one."""
+    recorded = table(spark, sf_dir, "sections").select("id", "content_hash")
+    read = table(spark, sf_dir, "fts").withColumn("body_l3", F.replace("body_l3", F.lit("\r\n"), F.lit("\n")))
+    return quality.digest_drift(recorded, read)
 
 
 def build_gate(spark, sf_dir):
@@ -353,6 +381,14 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return parts, parts.where("node > 0").select("node", F.floor(F.col("node") / 2).cast("long").alias("needs"))
 
 
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ten = F.floor(F.col("node") / 10)
+    w = Window.partitionBy("ten").orderBy("node")
+    parts, halves = _halves(spark, sf_dir)
+    rings = parts.withColumn("ten", ten).where("ten % 2 = 0").select("node", F.coalesce(F.lead("node").over(w), F.min("node").over(Window.partitionBy("ten"))).alias("needs"))
+    return halves.unionByName(rings)
+
+
 def dependency_waves(spark, sf_dir):
     """Parts in waves, each after the one of half its number."""
     return graphs.waves(*_halves(spark, sf_dir))
@@ -364,10 +400,19 @@ def dependency_closure(spark, sf_dir):
 
 
 def dependency_cycles(spark, sf_dir):
-    """Parts that depend on themselves, where each seventh number up to 70 needs the one seven above."""
-    edges = _halves(spark, sf_dir)[1].where("node % 7 <> 0")
-    ring = table(spark, sf_dir, "part").where("p_partkey % 7 = 0 AND p_partkey <= 70").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") == 70, F.lit(7)).otherwise(F.col("p_partkey") + 7).cast("long").alias("needs")).where("node > 0")
-    return graphs.in_cycles(edges.unionByName(ring))
+    """Parts that depend on themselves, where each needs that of half its number, and every other ten need one another in a ring."""
+    return graphs.in_cycles(_rings(spark, sf_dir))
+
+
+def dependency_cycle_groups(spark, sf_dir):
+    """The same with the cycle each is in, by its greatest part."""
+    return graphs.cycle_groups(_rings(spark, sf_dir))
+
+
+def dependency_conflicts(spark, sf_dir):
+    """Parts that have a brand in common with others they neither need nor are needed by."""
+    paths = table(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("node"))
+    return graphs.conflict_counts(paths, _halves(spark, sf_dir)[1])
 
 
 _FUNCTIONS = [v for v in list(globals().values()) if callable(v) and getattr(v, "__module__", None) == __name__ and not v.__name__.startswith("_")]

@@ -91,7 +91,22 @@ def test_refresh_stream_equals_batch(spark, tmp_path):
         query = refresh.refresh(spark.readStream.schema("k string, o int, v string").json(str(source)), table, mark, ["k"], "o")
         query.awaitTermination(60)
         query.stop()
-    assert sorted((r["k"], r["o"], r["v"]) for r in refresh.current(spark, table).collect()) == [("a", 2, "z"), ("b", 1, "y"), ("c", 1, "w")]
+    want = [("a", 2, "z"), ("b", 1, "y"), ("c", 1, "w")]
+    rows = lambda: sorted((r["k"], r["o"], r["v"]) for r in refresh.current(spark, table).collect())
+    assert rows() == want
+    again = refresh.refresh(spark.readStream.schema("k string, o int, v string").json(str(source)), table, mark + "2", ["k"], "o")
+    again.awaitTermination(60)
+    assert rows() == want
+    late = spark.createDataFrame([("d", 1, "n")], "k string, o int, v string")
+    before = refresh._meta(spark, table)
+    refresh.upsert(late, table, 0, ["k"], "o", mark)
+    assert rows() == want and refresh._meta(spark, table)[0] == before[0]
+    refresh.upsert(late, table, 9, ["k"], "o", mark)
+    assert rows() == [*want, ("d", 1, "n")]
+    changed = [p for p, n in dict(refresh._meta(spark, table)[1]["holders"]).items() if n > before[0]]
+    assert len(changed) == 1
+    refresh.sweep(spark, table)
+    assert rows() == [*want, ("d", 1, "n")]
 
 
 def test_limit_stream_equals_batch(spark, tmp_path):

@@ -1,6 +1,7 @@
 """Operators that SQL doesn't check, against plain Python versions, and odd inputs."""
 
 import random
+import re
 from collections import deque
 
 import pytest
@@ -67,10 +68,36 @@ def test_fences_and_units(spark):
     assert [r[1:] for r in sorted(rows(markdown.units(df, "id", "t")))][:2] == [(0, "1", "One", 0, "## 1 One\nbody\n```"), (1, "2", "Two", 0, "## 2 Two\n````\n~~~")]
     assert [(r[2], r[4]) for r in sorted(rows(markdown.units(df, "id", "t")))] == [("1", 0), ("2", 0), ("1", 1), ("3", 0)]
     assert [r[2] for r in sorted(rows(markdown.unfenced_lines(df, "id", "t"))) if r[0] == 4] == ["c"]
+    inner = spark.createDataFrame([(1, "## 1 A\nx\n### 1.1 B\ny\n### 1.2 C\n## 1 D\nz")], "id int, t string")
+    asked = spark.createDataFrame([(1, "1", 0), (1, "1", 1), (1, "1.1", 0), (1, "9", 0)], "id int, section_id string, occurrence int")
+    assert sorted(r[1:] for r in rows(markdown.slices(inner, "id", "t", asked))) == [("1", 0, "## 1 A\nx\n### 1.1 B\ny\n### 1.2 C"), ("1", 1, "## 1 D\nz"), ("1.1", 0, "### 1.1 B\ny"), ("9", 0, None)]
+    two = spark.createDataFrame([(1, "| a |\n|---|\n| b |\n\n| c |\n```\n| d |\n```")], "id int, t string")
+    assert sorted(rows(markdown.tables(two, "id", "t"))) == [(1, 0, ["a", "b"]), (1, 4, ["c"])]
     cells = spark.createDataFrame([(1, "| a | b\\|c |\n|---|--:|\n| 1 | 2  3 |\n```\n| no |\n```")], "id int, t string")
     assert sorted(rows(markdown.table_cells(cells, "id", "t"))) == [(1, 0, 0, "a"), (1, 0, 1, "b|c"), (1, 2, 0, "1"), (1, 2, 1, "2 3")]
 
 
+def plain_unfenced(text):
+    fence, out = "", []
+    for at, line in enumerate(text.replace("\r\n", "\n").split("\n")):
+        mark = re.match(r"(`{3,}|~{3,})", line.strip(" \t"))
+        if mark:
+            fence = mark[1] if not fence else "" if mark[1][0] == fence[0] and len(mark[1]) >= len(fence) else fence
+        elif not fence:
+            out.append((at, line))
+    return out
+
+
+def test_fences_equal_a_walk(spark):
+    lines = ["```", "````", "~~~", "  ``` x", "a", "", "b ``` c", "``", "~~~~~"]
+    texts = [RNG.choice(["\n", "\r\n"]).join(RNG.choices(lines, k=RNG.randint(0, 12))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {}
+    for i, at, line in rows(markdown.unfenced_lines(df, "id", "t")):
+        got.setdefault(i, []).append((at, line))
+    assert got == {i: w for i, t in enumerate(texts) if (w := plain_unfenced(t))}
+
+
 def test_prose_and_images(spark):
     df = spark.createDataFrame([("# h\none  \n\n\n\n| t |\n<!-- c -->\n![x](y)\ntwo\nFigure: z\n[table omitted]",)], "t string")
     assert df.select(markdown.prose(F.col("t"))).first()[0] == "one\n\ntwo"
@@ -82,6 +109,8 @@ def test_transcribed_tables(spark):
     l3 = "| Code | Len |\n|---|---|\n| alpha | 12.5 |\n| beta | gamma ray |"
     df = spark.createDataFrame([(1, "We have Code, alpha, beta and gamma ray. Else.", l3), (2, "alphabet Code beta", l3), (3, None, None)], "id int, body_l2 string, body_l3 string")
     assert rows(quality.transcribed_tables(df)) == [(1, 0, 4)]
+    again = spark.createDataFrame([(1, "The alphabet and alpha, beta, C\\E+ and gamma.", "| alpha | beta | gamma | C\\E+ |"), (2, "alpha, beta, gamma, delta", "```\n| alpha | beta | gamma | delta |\n```")], "id int, body_l2 string, body_l3 string")
+    assert rows(quality.transcribed_tables(again)) == [(1, 0, 4)]
 
 
 def test_gate_without_rows(spark):
@@ -93,13 +122,40 @@ def test_graph_with_cycle(spark):
     edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 6), (6, 5), (7, 6), (8, 99), (9, 9)], "node int, needs int")
     nodes = spark.createDataFrame([(i,) for i in range(1, 10)], "node int")
     assert dict(rows(graphs.waves(nodes, edges))) == {1: 1, 2: 2, 3: 3, 4: 4, 8: 1}
-    assert {r[0] for r in rows(graphs.in_cycles(edges))} == {5, 6, 9}
+    assert set(rows(graphs.cycle_groups(edges))) == {(5, 6), (6, 6), (9, 9)}
     assert (4, 1) in rows(graphs.closure(edges))
+    assert sorted(rows(graphs.closure(edges, nodes.where("node IN (3, 7)")))) == [(3, 1), (3, 2), (7, 5), (7, 6)]
     paths = spark.createDataFrame([(2, "x"), (4, "x"), (5, "y"), (8, "y"), (8, "x")], "node int, path string")
     assert sorted(rows(graphs.conflicts(paths, edges))) == [(2, 8), (4, 8), (5, 8)]
+    assert sorted(rows(graphs.conflict_counts(paths, edges))) == [("x", 2, 1), ("x", 4, 1), ("x", 8, 2), ("y", 5, 1), ("y", 8, 1)]
     assert graphs.waves(nodes.limit(0), edges.limit(0)).count() == 0
 
 
+def reaches(edges):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = {}
+    for n in after:
+        todo, seen = list(after[n]), set()
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after.get(x, ())
+        out[n] = seen
+    return out
+
+
+def test_cycles_of_random_graphs(spark):
+    for many in (12, 25, 40):
+        edges = [(RNG.randint(1, 20), RNG.randint(1, 20)) for _ in range(many)]
+        reach = reaches(edges)
+        want = {(n, max(m for m in reach if n in reach[m] and m in reach[n])) for n in reach if n in reach[n]}
+        got = rows(graphs.cycle_groups(spark.createDataFrame(edges, "node int, needs int")))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_bm25_against_formula(spark):
     import math
 
@@ -151,6 +207,24 @@ def test_parents(spark):
     assert dict((r[1], r[2]) for r in rows(catalog.parent_of(asked, known, ["d"], "s", "s"))) == {"3.2.1": "3.2", "5.6-note": "5.6", "3": None, "3.1": None}
 
 
+def test_kinds_by_title(spark):
+    docs = [("a", "x", "Work — plan", ["plan", "generated"]), ("b", "x", "Work — tests", ["generated", "test"]), ("c", "x", "Work — plan", ["plan"]), ("d", "x-svc", "t", ["code"]), ("e", "civil-code", "t", None), ("f", "x", "Work (Plan)", ["plan", "generated"])]
+    df = spark.createDataFrame(docs, "repo_id string, doc_id string, title string, tags array<string>")
+    assert dict(rows(catalog.inferred_kinds(df))) == {"a": "ba", "b": "tester", "c": "kb", "d": "dev", "e": "kb", "f": "kb"}
+    own = spark.createDataFrame([("a", "x", "1"), ("c", "x", "hist.1"), ("c", "x", "2")], "repo_id string, doc_id string, section_id string")
+    assert rows(catalog.without_machine_sections(own, df)) == [("c", "x", "2")]
+
+
+def test_siblings_parts_and_stable_pages(spark):
+    heads = [(1, 0, "5.2"), (1, 1, "6"), (1, 2, "5.10"), (1, 3, "5.9"), (1, 4, "5.1"), (2, 0, "1.2"), (2, 1, "2.1"), (2, 2, "x")]
+    df = spark.createDataFrame(heads, "page int, at int, sid string")
+    assert rows(ordered.sibling_inversions(df, ["page"], [F.col("at")], "sid")) == [(1, "5.10", "5.9")]
+    items = spark.createDataFrame([("d", 0, None), ("d", 1, 3), ("d", 2, None), ("d", 3, 7), ("d", 4, 4), ("e", 0, 1)], "doc string, at int, page int")
+    parts = spark.createDataFrame([("d", 2, "A"), ("d", 5, "B"), ("d", 9, "C"), ("e", 4, "Z")], "doc string, page int, part string")
+    assert [r["part"] for r in ordered.part_of_page(items, parts, ["doc"], "at", "page", "part").orderBy("doc", "at").collect()] == ["A", "A", "A", "B", "B", "Z"]
+    assert [(r["at"], r["place"]) for r in ordered.stable_by_page(items.where("doc = 'd'"), ["doc"], [F.col("at")], "page", "place").orderBy("at").collect()] == [(0, 1), (1, 2), (2, 3), (3, 5), (4, 4)]
+
+
 def test_kinds_and_tags(spark):
     assert catalog.kinds([" KB", "dev", "kb"]) == ["dev", "kb"]
     with pytest.raises(ValueError):
@@ -164,14 +238,21 @@ def test_kinds_and_tags(spark):
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("https://u:p@h/x", "/a/:id/b/{x}/<y>/[z]/", "Éa_b  Ctề!", "x<!-- a\n-->y")], "u string, r string, t string, h string")
-    got = df.select(tx.redact_url(F.col("u")), tx.route_shape(F.col("r")), tx.slug(F.col("t")), tx.slug_id(F.col("t")), tx.strip_comments(F.col("h")), tx.tokens(F.col("t")), tx.natural_key(F.lit("1.10.x"))).first()
-    assert tuple(got) == ("https://h/x", "/a/{}/b/{}/{}/{}", "ea-b-cte", "éa-b-ctề", "xy", ["éa", "b", "ctề"], [1, 10, None])
+    got = df.select(tx.redact_url(F.col("u")), tx.route_shape(F.col("r")), tx.slug(F.col("t")), tx.slug_id(F.col("t")), tx.strip_comments(F.col("h")), tx.tokens(F.col("t")), tx.natural_key(F.lit("1.10.x")), tx.slug_id(F.lit("Straße der Maße"))).first()
+    assert tuple(got) == ("https://h/x", "/a/{}/b/{}/{}/{}", "ea-b-cte", "éa-b-ctề", "xy", ["éa", "b", "ctề"], [1, 10, None], "straße-der-maße")
 
 
 def test_snippet(spark):
     df = spark.createDataFrame([("a" * 200 + " Word " + "b" * 200,), ("word",), ("none",)], "t string")
     got = [r[0] for r in df.select(tx.snippet(F.col("t"), F.array(F.lit("zzz"), F.lit("word")), 10)).collect()]
     assert got == ["…" + "a" * 9 + " Word " + "b" * 9 + "…", "word", None]
+    ends = spark.createDataFrame([("x  word   y",)], "t string").select(tx.snippet(F.col("t"), F.array(F.lit("word")), 2))
+    assert ends.first()[0] == "…word…"
+
+
+def test_pattern_facts(spark):
+    df = spark.createDataFrame([(1, "FN-7 FN-7 No. 3 Số 4 xSố 5 https://a.b/c)"), (2, None), (3, "")], "id int, t string")
+    assert sorted(rows(plugins.pattern_facts(df, "id", "t"))) == [(1, "form", "FN-7", 2), (1, "reference", "3", 1), (1, "reference", "4", 1), (1, "url", "https://a.b/c", 1)]
 
 
 def test_facts_function(spark):
