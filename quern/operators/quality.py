@@ -130,6 +130,20 @@ def uncovered_shingles(rows: DataFrame, size: int = 4) -> DataFrame:
     return made.select("id", F.size("a").alias("n"), F.size(F.array_except("a", "b")).alias("uncovered"))
 
 
+def uncovered(own: list[str], others: list[list[str]], size: int, least: int) -> Iterator[tuple[int, int]]:
+    """Start and length of the longest runs of at least ``least`` words that no run of ``size`` words of the others covers.
+
+    Where one side is shorter than that, single words cover.
+    """
+    n = size if len(own) >= size and sum(map(len, others)) >= size else 1
+    known = {tuple(b[i : i + n]) for b in others for i in range(len(b) - n + 1)}
+    end = 0
+    for i in [*(i for i in range(len(own) - n + 1) if tuple(own[i : i + n]) in known), len(own)]:
+        if i - end >= least:
+            yield end, i - end
+        end = max(end, i + n)
+
+
 def uncovered_runs(rows: DataFrame, size: int = 4, least: int = 5) -> DataFrame:
     """``id, start, words, passage``: the longest runs of the condensed text's words, from position 0, that the full text doesn't cover.
 
@@ -141,20 +155,11 @@ def uncovered_runs(rows: DataFrame, size: int = 4, least: int = 5) -> DataFrame:
     schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("start int, words int, passage string")])
     id_type = to_arrow_type(schema["id"].dataType)
 
-    def find(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
-        n = 1 if len(a) < size or len(b) < size else size
-        known = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
-        end = 0
-        for i in [*(i for i in range(len(a) - n + 1) if tuple(a[i : i + n]) in known), len(a)]:
-            if i - end >= least:
-                yield end, i - end
-            end = i + n
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, a, b in zip(*(batch.column(c).to_pylist() for c in ("id", "a", "b"))):
-                out += [(key, start, n, " ".join(a[start : start + n])) for start, n in find(a, b)]
+                out += [(key, start, n, " ".join(a[start : start + n])) for start, n in uncovered(a, [b], size, least)]
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, pa.int32(), pa.int32(), pa.string()))], names=schema.names)
 

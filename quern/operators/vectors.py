@@ -8,12 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.search import LEG, top
 from quern.session import materialise
+from quern.sources.sinks import exists, remove
 
 #: Vectors the centroids are fitted on at most, taken by the hash of their key; and rounds of fitting.
 SAMPLE, ROUNDS = 50_000, 8
@@ -101,3 +102,42 @@ def recall(found: DataFrame, exact: DataFrame, key: str) -> float:
     """Which share of the exact rows were found."""
     met = exact.select("query_id", key).join(found.select("query_id", key), ["query_id", key], "left_semi").count()
     return met / max(exact.count(), 1)
+
+
+def missing(rows: DataFrame, path: str, model: str, key: str) -> DataFrame:
+    """The rows that have no vector yet among those kept at ``path`` for a model; all of them for another model or where none are kept."""
+    spark = rows.sparkSession
+    where = f"{path}/{model}"
+    if not exists(spark, f"{where}/data"):
+        return rows
+    return rows.join(spark.read.parquet(f"{where}/data").select(key).distinct(), key, "left_anti")
+
+
+def backfill(rows: DataFrame, path: str, model: str, key: str, text: str, embed, digest: str | None = None) -> int:
+    """Add the vectors that are missing for ``rows`` and return how many; what is there stays, whatever run wrote it.
+
+    ``embed`` makes a vector column of a text column. While vectors are added ``dirty``
+    is there; ``complete`` is written once every row has one, and tells the model and the
+    count. A run that failed is run again and goes on. Repeated rows count once; rows
+    without a key have none. With ``digest``, a row whose text changed is missing again,
+    and of several vectors of a key readers take that of the row's digest.
+    """
+    spark, keys = rows.sparkSession, [key, *([digest] if digest else [])]
+    where = f"{path}/{model}"
+    own = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).select(*keys, text)
+    if exists(spark, f"{where}/data"):
+        own = own.join(spark.read.parquet(f"{where}/data").select(*keys).distinct(), keys, "left_anti")
+    spark.range(1).write.mode("overwrite").parquet(f"{where}/dirty")
+    made = materialise(own.select(*keys, embed(F.col(text)).alias("vector")), "vectors")
+    n = made.count()
+    if n:
+        made.write.mode("append").parquet(f"{where}/data")
+    total = spark.read.parquet(f"{where}/data").select(*keys).distinct().count() if exists(spark, f"{where}/data") else 0
+    spark.createDataFrame([(model, total)], "model string, n long").write.mode("overwrite").parquet(f"{where}/complete")
+    remove(spark, f"{where}/dirty")
+    return n
+
+
+def covered(spark: SparkSession, path: str, model: str) -> bool:
+    """Whether all vectors of a model were written and no run is under way or broke off."""
+    return exists(spark, f"{path}/{model}/complete/_SUCCESS") and not exists(spark, f"{path}/{model}/dirty")

@@ -1,8 +1,8 @@
 """Queries over the engine's operators, and the SQL they must equal."""
 
-from quern.plans import document_queries, more_queries, search_queries, snapshot_queries, store_queries
+from quern.plans import document_queries, fulltext_queries, more_queries, search_queries, snapshot_queries, store_queries
 
-_MODULES = [search_queries, snapshot_queries, store_queries, more_queries, document_queries]
+_MODULES = [search_queries, snapshot_queries, store_queries, more_queries, document_queries, fulltext_queries]
 
 
 def queries() -> dict:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +9,7 @@ from pyspark.sql.window import Window
 
 from quern.operators.catalog import tree_digest
 from quern.operators.markdown import units
-
-#: The files that make a folder a repository's entry.
-ENTRY_FILES = ("_meta.yaml", "index.yaml")
+from quern.sources.federation import folders
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -27,22 +23,9 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(_relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def entries(spark: SparkSession, root: str, depth: int = 4) -> DataFrame:
-    """``repo_id`` of every folder, up to ``depth`` below ``root``, that holds both of an entry's files; the id is its path.
-
-    Spark's own listing passes over names that start with ``_``, so folders are found
-    by glob; only entries' files are looked up, a few for each repository.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for name in ENTRY_FILES:
-        own = set()
-        for level in range(1, depth + 1):
-            for status in store.globStatus(path(root, "/".join(["*"] * level) + f"/{name}")) or ():
-                own.add(re.sub(r"^[a-z0-9]+:/+", "/", status.getPath().getParent().toString())[len(root.rstrip("/")) + 1 :])
-        found.append(own)
-    return spark.createDataFrame([(r,) for r in sorted(set.intersection(*found))], "repo_id string")
+def entries(spark: SparkSession, root: str) -> DataFrame:
+    """``repo_id`` of every folder, however deep, that holds both of an entry's files; the id is its path."""
+    return folders(spark, root).where("state = 'entry'").select("repo_id")
 
 
 def owned(files: DataFrame, repos: DataFrame) -> DataFrame:
@@ -106,6 +89,15 @@ def ledger(spark: SparkSession, path: str | list[str], schema: T.StructType | st
     return rows.where("_corrupt IS NULL").drop("_corrupt").withColumn("_file", F.input_file_name())
 
 
+def transcript(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, at, row``: every line of JSON-lines files that is an object, as text in its order; all others are passed over.
+
+    A file is read as one text, so that its lines have a place; transcripts are small, and many are read side by side.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "row"))
+    return files.where(F.trim("row").startswith("{") & F.try_parse_json(F.col("row")).isNotNull())
+
+
 def first_of_each(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     """All sources together, each key from the first source that has it."""
     whole = None

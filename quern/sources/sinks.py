@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import materialise
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether something was written at a path."""
@@ -12,6 +16,65 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what is at a path, if anything."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def store_assets(spark: SparkSession, files: DataFrame, path: str) -> DataFrame:
+    """Keep ``name, content`` under the content's digest: ``name, digest, size, added``; what is there already isn't written again.
+
+    Contents lie in ``<path>/objects``, parted by the digest's first byte.
+    """
+    own = files.select("name", F.sha2("content", 256).alias("digest"), F.length("content").alias("size"), "content")
+    objects = f"{path}/objects"
+    there = spark.read.parquet(objects).select("digest").distinct() if exists(spark, objects) else own.select("digest").limit(0)
+    fresh = own.dropDuplicates(["digest"]).join(there, "digest", "left_anti").withColumn("byte", F.substring("digest", 1, 2))
+    out = materialise(own.select("name", "digest", "size").join(fresh.select("digest", F.lit(True).alias("_new")), "digest", "left").select("name", "digest", "size", F.col("_new").isNotNull().alias("added")), "assets")
+    fresh.select("digest", "content", "byte").write.mode("append").partitionBy("byte").parquet(objects)
+    return out
+
+
+def load_assets(spark: SparkSession, path: str, digests: DataFrame) -> DataFrame:
+    """``digest, content, sound`` of stored contents; one whose bytes have another digest isn't sound."""
+    held = spark.read.parquet(f"{path}/objects").join(digests.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    return held.select("digest", "content", (F.sha2("content", 256) == F.col("digest")).alias("sound"))
+
+
+def mirror_files(local: DataFrame, remote: DataFrame, path: str) -> DataFrame:
+    """Carry out a mirror: what differs is written over the old, what is gone deleted; ``path, action`` of all that was done.
+
+    ``local`` has ``path, content``, ``remote`` ``path, digest``. A path that leads out of
+    the folder is an error before anything is written. Files are written by the workers.
+    """
+    own = local.select("path", "content", F.sha2("content", 256).alias("digest"))
+    odd = own.select("path").unionByName(remote.select("path")).where(F.col("path").rlike(r"(^/|(^|/)[.][.](/|$))"))
+    if not odd.isEmpty():
+        raise ValueError("a path leads out of the folder")
+    plan = materialise(own.select("path", F.col("digest").alias("_a")).join(remote.select("path", F.col("digest").alias("_b")), "path", "full_outer").where("NOT _a <=> _b").select("path", F.when(F.col("_a").isNull(), "delete").otherwise("copy").alias("action")), "plan")
+    rows = plan.join(own.select("path", "content"), "path", "left").select("path", "action", "content")
+
+    def run(batches):
+        for batch in batches:
+            for name, action, content in zip(*(c.to_pylist() for c in batch.columns)):
+                target = os.path.join(path, name)
+                if action == "copy":
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    with open(f"{target}.part", "wb") as out:
+                        out.write(content)
+                    os.replace(f"{target}.part", target)
+                elif os.path.exists(target):
+                    os.remove(target)
+                    folder = os.path.dirname(target)
+                    while folder != path.rstrip("/") and os.path.isdir(folder) and not os.listdir(folder):
+                        os.rmdir(folder)
+                        folder = os.path.dirname(folder)
+            yield batch.select(["path", "action"])
+
+    return materialise(rows.mapInArrow(run, "path string, action string"), "mirrored")
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The numbers of the complete versions ``v=N`` below a path, in order."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
