@@ -21,9 +21,10 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import islice
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,8 @@ PAGE_WORDS = ("page", "seite", "trang", "pg", "p", "s", "tr")
 TOTAL_WORDS = ("of", "von", "sur", "de", "trên")
 
 _ALNUM = regex.compile(r"[\p{L}\p{N}]+")
+#: Five words or more.
+_WORDY = re.compile(r"[\W_]*(?:[^\W_]+[\W_]+){4}[^\W_]")
 _NEWLINE = re.compile(r"\r\n|\n|\r")
 #: Letters and numbers, joined by hyphens and apostrophes, or by a dot that a letter may have had below it.
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:(?:[-'’‐‑]|(?<=[aeiouâêôơưă])\.)[\p{L}\p{M}\p{N}]+)*")
@@ -79,6 +82,10 @@ _FOLDED = str.maketrans({"1": "l", "i": "l", "0": "o", "5": "s", "9": "g", "6":
 def fold(line: str) -> str:
     """A line without blanks, signs and letter case, and with characters that are confused made equal."""
     text = regex.sub(r"[^\p{L}\p{N}]+", "", unicodedata.normalize("NFC", look(line)).lower())
+    return _made_equal(text)
+
+
+def _made_equal(text: str) -> str:
     text = text.translate(_DIGITS)
     for seen, real in _FOLDS:
         text = text.replace(seen, real)
@@ -110,6 +117,8 @@ def page_number(line: str) -> tuple[int, bool] | None:
 
     Signs, however many, a word for page and a total may stand with it.
     """
+    if _WORDY.match(line):
+        return None
     words = [m[0] for m in islice(_ALNUM.finditer(look(line)), 5)]
     if not 1 <= len(words) <= 4:
         return None
@@ -139,13 +148,14 @@ def header_forms(line: str) -> set[str]:
     return {f for f in forms if len(f) >= 4}
 
 
-def masks(line: str) -> list[str]:
-    """A line's folded forms without one of its words and with all numbers alike, as their lengths and hashes.
+def masks(line: str) -> list[int]:
+    """Hashes of a line's folded forms without one of its words and with all numbers alike.
 
     Running lines of different documents that differ in a name only share one. A form's
     hash is put together from those of the line's beginnings, so a long line costs no more than its length.
     """
-    folded = [fold(re.sub(r"\d+", "0", w)) for w in regex.findall(r"[\p{L}\p{M}\p{N}]+", look(line))]
+    text = re.sub(r"\d+", "0", unicodedata.normalize("NFC", look(line)).lower())
+    folded = _made_equal("\0".join(regex.findall(r"[\p{L}\p{M}\p{N}]+", text))).split("\0")
     begun = [0]
     for w in folded:
         begun.append(reduce(lambda h, c: (h * _BASE + ord(c)) % _PRIME, w, begun[-1]))
@@ -153,7 +163,7 @@ def masks(line: str) -> list[str]:
     for i in range(len(folded) - 1, -1, -1):
         shift = pow(_BASE, rest, _PRIME)
         if len(folded) > 1 and size - len(folded[i]) >= 4:
-            out.append(f"{size - len(folded[i])}.{(begun[i] * shift + begun[-1] - begun[i + 1] * shift) % _PRIME:x}")
+            out.append((begun[i] * shift + begun[-1] - begun[i + 1] * shift) % _PRIME)
         rest += len(folded[i])
     return list(dict.fromkeys(out))
 
@@ -198,6 +208,11 @@ class Headers:
         return False
 
 
+@lru_cache(maxsize=256)
+def _headers(forms: tuple[str, ...]) -> Headers:
+    return Headers(forms)
+
+
 @dataclass
 class Line:
     """A line of a section: ``text`` carries the running text, all other kinds but noise stay as they are."""
@@ -471,11 +486,11 @@ def _edges(pages: DataFrame, depth: int) -> DataFrame:
 
 
 def _marks(lines: DataFrame) -> DataFrame:
-    """Of lines that may be running ones ``form``, the folded line, and ``masks``; of page numbers ``shift``, by how much they differ from the page's place.
+    """Of lines that may be running ones ``form``, the folded line; of page numbers ``shift``, by how much they differ from the page's place.
 
     A line that ends like a sentence is none, unless it was recognised as one.
     """
-    schema = "repo_id string, doc_id string, page int, seen boolean, place int, form string, masks array<string>, shift int"
+    schema = "repo_id string, doc_id string, page int, seen boolean, place int, line string, form string, shift int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -486,15 +501,19 @@ def _marks(lines: DataFrame) -> DataFrame:
                     if page is not None:
                         out.append((repo, doc, page, seen, place, None, None, number[0] - page))
                 elif seen or line.rstrip()[-1] not in ".,;:!?":
-                    alike = masks(line)
-                    out += [(repo, doc, page, seen, place, form, alike, None) for form in header_forms(line)]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32()]
+                    out += [(repo, doc, page, seen, place, line, form, None) for form in header_forms(line)]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.int32()]
             columns = list(zip(*out)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["repo_id", "doc_id", "page", "seen", "place", "form", "masks", "shift"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["repo_id", "doc_id", "page", "seen", "place", "line", "form", "shift"])
 
     return lines.mapInArrow(run, schema)
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _masks_of(lines: pd.Series) -> pd.Series:
+    return lines.map(masks)
+
+
 def running_lines(pages: DataFrame, furniture: DataFrame) -> DataFrame:
     """For every scanned document ``repo_id, doc_id, headers, shift, first_page, last_page``.
 
@@ -513,7 +532,8 @@ def running_lines(pages: DataFrame, furniture: DataFrame) -> DataFrame:
         lines = _edges(near, depth)
         new = materialise(_marks(lines.unionByName(known) if marks is None else lines), "edges")
         marks = new if marks is None else marks.unionByName(new)
-        forms = marks.where("form IS NOT NULL").groupBy(*doc, "form").agg(F.countDistinct("page").alias("n"), F.max("seen").alias("seen"), F.max("masks").alias("masks"))
+        on_pages = marks.where("form IS NOT NULL").groupBy(*doc, "form", "page").agg(F.max("seen").alias("seen"), F.min("line").alias("line"))
+        forms = materialise(on_pages.groupBy(*doc, "form").agg(F.count("page").alias("n"), F.max("seen").alias("seen"), F.min("line").alias("line")), "forms")
         sure = forms.where("seen OR n > 1")
         depth += EDGE
         at = [*doc, "page", "place"]
@@ -524,8 +544,8 @@ def running_lines(pages: DataFrame, furniture: DataFrame) -> DataFrame:
             break
         near = near.join(full, [*doc, "page"], "left_semi").where(F.size(F.split("page_text", r"\r\n|\n|\r")) > depth)
     extent = pages.groupBy(*doc).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
-    templates = sure.select(*doc, F.explode("masks").alias("mask")).distinct().groupBy("mask").agg(F.count("*").alias("docs")).where("docs > 1").select("mask")
-    once = forms.where("NOT seen AND n = 1").select(*doc, "form", F.explode("masks").alias("mask")).join(templates, "mask", "left_semi")
+    templates = sure.select(*doc, F.explode(_masks_of("line")).alias("mask")).distinct().groupBy("mask").agg(F.count("*").alias("docs")).where("docs > 1").select("mask")
+    once = forms.where("NOT seen AND n = 1").select(*doc, "form", F.explode(_masks_of("line")).alias("mask")).join(templates, "mask", "left_semi")
     headers = sure.select(*doc, "form").unionByName(once.select(*doc, "form")).groupBy(*doc).agg(F.collect_set("form").alias("headers"))
     shifts = marks.where("shift IS NOT NULL").groupBy(*doc, "shift").agg(F.countDistinct("page").alias("n"))
     shifts = shifts.groupBy(*doc).agg(F.max_by("shift", F.struct("n", (-F.abs("shift")).alias("near"), "shift")).alias("shift"))
@@ -617,7 +637,7 @@ def parse_sections(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             out = []
             for i, body, headers, low, high in zip(*(batch.column(c).to_pylist() for c in ("id", "body_l3", "headers", "low", "high"))):
-                lines = classify(body, Headers(headers), range(low, high + 1) if low is not None and high is not None else None)
+                lines = classify(body, _headers(tuple(headers)), range(low, high + 1) if low is not None and high is not None else None)
                 out += [(i, line.kind, at, "", None) for at, line in enumerate(lines) if line.kind in ("header", "page_number")]
                 size = sum(line.text.count(" ") + 1 for line in lines if line.kind in ("text", "item"))
                 for words in words_of(lines, known.passes):
@@ -875,7 +895,7 @@ def repair_scans(sections: DataFrame, fts: DataFrame, pages: DataFrame, furnitur
             out = []
             for body, headers, low, high, fixes in zip(*(batch.column(c).to_pylist() for c in ("body_l3", "headers", "low", "high", "fixes"))):
                 numbers = range(low, high + 1) if low is not None and high is not None else None
-                out.append(rewrite(body, Headers(headers), numbers, {(f["line"], f["at"]): f["word"] for f in fixes or ()}, sent.value))
+                out.append(rewrite(body, _headers(tuple(headers)), numbers, {(f["line"], f["at"]): f["word"] for f in fixes or ()}, sent.value))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], names=["id", "body_l3"])
 
     repaired = bodies.join(fixes, "id", "left").mapInArrow(run, T.StructType([fts.schema["id"], T.StructField("body_l3", T.StringType())]))

@@ -189,5 +189,5 @@ def test_long_text(spark):
 
 
 def test_numbers_of_a_list_are_no_page_numbers():
-    kinds = [line.kind for line in S.classify("x:\n12\n7\n\n8\ny\n7", set(), {7, 8})]
+    kinds = [line.kind for line in S.classify("x:\n12\n7\n\n8\ny\n7", S.Headers(()), {7, 8})]
     assert kinds == ["text", "text", "text", "blank", "page_number", "text", "page_number"]
