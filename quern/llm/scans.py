@@ -569,7 +569,8 @@ def corpus_grams(texts: DataFrame, scanned: str, noisy: str, clean: Iterable[str
     """``a, b, n``: how often each word (``b`` null) and each pair of neighbours occurs.
 
     Counts the ``clean`` columns of all rows, and the ``noisy`` one of those that
-    aren't ``scanned``. Each task adds up before anything is shuffled.
+    aren't ``scanned``. A row that is there several times has their number as ``times``
+    and counts by its share, so that repeats count once. Each task adds up before anything is shuffled.
     """
     clean = list(clean)
 
@@ -577,10 +578,17 @@ def corpus_grams(texts: DataFrame, scanned: str, noisy: str, clean: Iterable[str
         single: Counter = Counter()
         pairs: Counter = Counter()
 
+        def add(counts: Counter, found: Iterable, share: float) -> None:
+            if share == 1:
+                counts.update(found)
+            else:
+                for x in found:
+                    counts[x] += share
+
         def flush() -> pa.RecordBatch:
             a, b = zip(*pairs) if pairs else ((), ())
             columns = [[*single, *a], [*[None] * len(single), *b], [*single.values(), *pairs.values()]]
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["a", "b", "n"])
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64()))], names=["a", "b", "n"])
             single.clear()
             pairs.clear()
             return made
@@ -588,17 +596,19 @@ def corpus_grams(texts: DataFrame, scanned: str, noisy: str, clean: Iterable[str
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in clean]
             columns.append([None if s else t for s, t in zip(batch.column(scanned).to_pylist(), batch.column(noisy).to_pylist())])
+            shares = [1 / (n or 1) for n in batch.column("times").to_pylist()]
             for column in columns:
-                for text in column:
+                for text, share in zip(column, shares):
                     if text:
                         words = _WORD.findall(plain(text))
-                        single.update(words)
-                        pairs.update(zip(words, words[1:]))
+                        add(single, words, share)
+                        add(pairs, zip(words, words[1:]), share)
                 if len(single) + len(pairs) > 500_000:
                     yield flush()
         yield flush()
 
-    return texts.select(scanned, noisy, *clean).mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted = texts.select(scanned, "times", noisy, *clean).mapInArrow(run, "a string, b string, n double").groupBy("a", "b").agg(F.round(F.sum("n")).cast("long").alias("n"))
+    return counted.where("n > 0")
 
 
 _WORD_TYPE = pa.struct([("forms", pa.list_(pa.string())), ("broken", pa.string()), ("tail", pa.string()), ("suspect", pa.bool_())])
@@ -787,7 +797,9 @@ def _head(unigrams: DataFrame, most: int) -> dict[str, int]:
 def _stages(sections: DataFrame, fts: DataFrame, pages: DataFrame, furniture: DataFrame, spans: DataFrame, head: int):
     info = materialise(scanned_sections(sections, pages, furniture, spans), "scanned")
     clean = ["title", "summary", "body_l2"]
-    texts = fts.select("id", "body_l3", *clean).dropDuplicates(["id"]).join(info.select("id").distinct().withColumn("scanned", F.lit(True)), "id", "left")
+    repeated = fts.groupBy("id").agg(F.count("*").alias("times")).where("times > 1")
+    flags = info.select("id").distinct().withColumn("scanned", F.lit(True)).join(repeated, "id", "full_outer")
+    texts = fts.select("id", "body_l3", *clean).join(flags, "id", "left")
     grams = materialise(corpus_grams(texts, "scanned", "body_l3", clean), "grams")
     unigrams = grams.where("b IS NULL")
     total = unigrams.agg(F.sum("n")).collect()[0][0] or 1
