@@ -2,7 +2,8 @@
 
 ``EXCEPT ALL`` both ways between each snapshot and the one before leaves only the
 rows that differ; a full join of these residues by key labels every key as added,
-removed or changed. All snapshots are compared in one plan: a row of snapshot
+removed or changed. Rows are compared as 128-bit digests of their keys and values, and
+keys fetched for the residues only. All snapshots are compared in one plan: a row of snapshot
 ``t`` counts as *after* under ``t`` and as *before* under the next number.
 """
 
@@ -50,6 +51,16 @@ def _pairs_of_numbers(states: DataFrame, number: str) -> DataFrame:
     return states.select(number).distinct().withColumn("_next", F.lead(number).over(Window.orderBy(number))).where(F.col("_next").isNotNull())
 
 
+def _digest_of(columns: Sequence[str], df: DataFrame) -> Column:
+    """128 bits that stand for the values of some columns; lengths keep one from running into the next, and null is no text."""
+    parts = []
+    for c in columns:
+        own = F.col(c) if isinstance(df.schema[c].dataType, T.BinaryType) else F.encode(F.col(c).cast("string"), "UTF-8")
+        size = F.concat(F.coalesce(F.octet_length(own), F.lit(-1)).cast("string"), F.lit(":"))
+        parts += [F.encode(size, "UTF-8"), F.coalesce(own, F.unhex(F.lit("")))]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
 def snapshot_changes(
     snapshots: DataFrame,
     number: str,
@@ -74,10 +85,14 @@ def snapshot_changes(
     )
     ks, vs = [f"_k{i}" for i in range(len(keys))], [f"_v{i}" for i in range(len(values))]
     state = latest_rows(base, ["_n", *ks], "_arrived", vs)
+    # one row a snapshot number
     steps = F.broadcast(_pairs_of_numbers(base.withColumnRenamed("_n", "_number"), "_number"))
-    before = state.join(steps, F.col("_n") == F.col("_number")).select(F.col("_next").alias("_n"), *ks, *vs)
-    after = state.join(steps.select("_next"), F.col("_n") == F.col("_next")).select("_n", *ks, *vs)
-    gone, new = before.exceptAll(after).alias("gone"), after.exceptAll(before).alias("new")
+    marked = state.select("_n", *ks, _digest_of([*ks, *vs], state).alias("_d"))
+    before = marked.join(steps, F.col("_n") == F.col("_number")).select(F.col("_next").alias("_n"), "_d")
+    after = marked.join(steps.select("_next"), F.col("_n") == F.col("_next")).select("_n", "_d")
+    left = before.exceptAll(after).join(steps, F.col("_n") == F.col("_next")).select(F.col("_number").alias("_n"), "_d", "_next")
+    gone = marked.join(left, ["_n", "_d"]).select(F.col("_next").alias("_n"), *ks).alias("gone")
+    new = marked.join(after.exceptAll(before), ["_n", "_d"]).select("_n", *ks).alias("new")
     same_key = [F.col(f"gone.{c}").eqNullSafe(F.col(f"new.{c}")) for c in ks]
     joined = gone.join(new, [F.col("gone._n") == F.col("new._n"), *same_key], "full_outer")
     change = F.when(F.col("gone._n").isNull(), "added").when(F.col("new._n").isNull(), "removed").otherwise("changed")
