@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quern.session import materialise
+
 #: White space that may surround a digest or a revision.
 _OUTER = r"^[\s\x{a0}]+|[\s\x{a0}]+$"
 
@@ -87,7 +89,7 @@ def snapshot_changes(
     state = latest_rows(base, ["_n", *ks], "_arrived", vs)
     # one row a snapshot number
     steps = F.broadcast(_pairs_of_numbers(base.withColumnRenamed("_n", "_number"), "_number"))
-    marked = state.select("_n", *ks, _digest_of([*ks, *vs], state).alias("_d"))
+    marked = materialise(state.select("_n", *ks, _digest_of([*ks, *vs], state).alias("_d")), "states")
     before = marked.join(steps, F.col("_n") == F.col("_number")).select(F.col("_next").alias("_n"), "_d")
     after = marked.join(steps.select("_next"), F.col("_n") == F.col("_next")).select("_n", "_d")
     left = before.exceptAll(after).join(steps, F.col("_n") == F.col("_next")).select(F.col("_number").alias("_n"), "_d", "_next")
