@@ -87,4 +87,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_classes, p3_canonical, p4_budget, p6_ids, p7_containers, p8_found)}
 
-ORACLE: dict[str, str] = {}
+_WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_LINE = r"(?:\r\n|\n|\r)"
+
+
+def _fits(text: str, pattern: str) -> str:
+    """Whether every part of a text, outer blanks not counted, is within the limit."""
+    return f"list_max(list_transform(string_split_regex({text}, '{pattern}'), lambda x: length(regexp_replace(x, '^{_WHITE}|{_WHITE}$', '', 'g')))) <= {LIMIT}"
+
+
+#: DuckDB SQL for those that it can express.
+ORACLE: dict[str, str] = {
+    "p1_found": f"""SELECT DISTINCT repo_id, doc_id, section_id, CASE WHEN {_fits('t', _LINE + '(?:[ \\t]*' + _LINE + ')+')} THEN 'block' WHEN {_fits('t', _LINE)} THEN 'line'
+            WHEN {_fits(f"regexp_replace(t, '([.!?]){_WHITE}', '\\1' || chr(1), 'g')", '(?:' + _LINE + '|\\x01)')} THEN 'sentence' WHEN {_fits('t', _WHITE)} THEN 'word' ELSE 'char' END AS cut
+        FROM (SELECT repo_id, doc_id, section_id, id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, doc_id, section_id ORDER BY delivered_at DESC, id DESC) AS rn
+            FROM sections WHERE snapshot_no = (SELECT max(snapshot_no) FROM sections)) WHERE rn = 1) JOIN (SELECT DISTINCT id, body_l3 AS t FROM fts WHERE length(body_l3) > {LIMIT}) USING (id)""",
+}
