@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -126,23 +126,29 @@ def bm25(index: Index, queries: DataFrame, k: int | None = None, only: DataFrame
     of all its scores, the ``k`` best of a query (to nine digits, ties to the lower key), as ``top`` would.
     """
     scored = None
-    terms = materialise(query_terms(queries), "terms")
-    for block in _blocks(terms):
-        part = _bm25_block(index, block, queries.schema["query_id"], k, only)
+    terms = query_terms(queries).withColumn("bucket", bucket_of(F.col("token")))
+    for block in _blocks(terms, TERMS):
+        part = _bm25_block(queries.sparkSession, index, block, queries.schema["query_id"], k, only)
         scored = part if scored is None else scored.unionByName(part)
     return scored
 
 
-def _blocks(rows: DataFrame) -> list[DataFrame]:
-    """Rows in parts of about ``BLOCK`` queries and ``TERMS`` rows, by a hash of their query's id."""
-    queries, n = rows.agg(F.countDistinct("query_id"), F.count("*")).first()
-    parts = max(-(-queries // BLOCK), -(-n // TERMS))
-    return [rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [rows]
+def _blocks(rows: DataFrame, most: int) -> Iterator[list[Row]]:
+    """The rows of queries in parts of about ``BLOCK`` queries and ``most`` rows, by a hash of their query's id; one part where all are that few."""
+    first = rows.limit(most + 1).collect()
+    if len(first) <= most and len({r["query_id"] for r in first}) <= BLOCK:
+        yield first
+        return
+    kept = materialise(rows, "asked")
+    queries, n = kept.agg(F.countDistinct("query_id"), F.count("*")).first()
+    parts = max(-(-queries // BLOCK), -(-n // most))
+    for i in range(parts):
+        yield kept.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).collect()
 
 
-def _bm25_block(index: Index, terms: DataFrame, query_id: T.StructField, k: int | None, only: DataFrame | None) -> DataFrame:
-    spark, key = terms.sparkSession, index.key
-    asked = [(r["query_id"], r["token"], r["times"], r["bucket"]) for r in terms.withColumn("bucket", bucket_of(F.col("token"))).collect()]
+def _bm25_block(spark: SparkSession, index: Index, terms: list[Row], query_id: T.StructField, k: int | None, only: DataFrame | None) -> DataFrame:
+    key = index.key
+    asked = [(r["query_id"], r["token"], r["times"], r["bucket"]) for r in terms]
     ids, known = sorted({q for q, *_ in asked}), sorted({t for _, t, *_ in asked})
     code, at = {t: i for i, t in enumerate(known)}, {q: i for i, q in enumerate(ids)}
     wanted = sorted((at[q], code[t], n) for q, t, n, _ in asked)
@@ -242,19 +248,19 @@ def neighbours(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k:
     """
     found = None
     asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    for block in _blocks(asked):
-        part = top(_near(vectors, key, vector, block, k, floor), key, [F.col("distance")], k)
+    for block in _blocks(asked, BLOCK):
+        part = top(_near(vectors, key, vector, block, queries.schema["query_id"], k, floor), key, [F.col("distance")], k)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _near(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, floor: float | None) -> DataFrame:
+def _near(vectors: DataFrame, key: str, vector: str, queries: list[Row], query_id: T.StructField, k: int, floor: float | None) -> DataFrame:
     by_size: dict[int, list] = {}
-    for r in queries.collect():
+    for r in queries:
         by_size.setdefault(len(r["vector"]), []).append((r["query_id"], r["vector"]))
     groups = {n: ([q for q, _ in rows], np.array([v for _, v in rows], float).reshape(len(rows), n)) for n, rows in by_size.items()}
-    sent = queries.sparkSession.sparkContext.broadcast(groups)
-    result = T.StructType([queries.schema["query_id"], vectors.schema[key], T.StructField("distance", T.DoubleType())])
+    sent = vectors.sparkSession.sparkContext.broadcast(groups)
+    result = T.StructType([query_id, vectors.schema[key], T.StructField("distance", T.DoubleType())])
     id_type, key_type = (to_arrow_type(x.dataType) for x in result.fields[:2])
     most = math.inf if floor is None else 1 / floor - 1
 
