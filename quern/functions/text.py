@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,13 +98,23 @@ def snippet(text: Column, terms: Column, around: int = 150) -> Column:
     Terms are looked for as parts of words, whatever the letter case; the window has
     no white space at its ends.
     """
-    low = F.lower(text)
-    first = F.try_element_at(F.filter(terms, lambda t: F.instr(low, t) > 0), F.lit(1))
-    at = F.call_function("instr", low, first)
-    start = F.greatest(F.lit(1), at - around)
-    end = F.least(F.char_length(text), at + F.char_length(first) - 1 + around)
-    cut = F.regexp_replace(F.substring(text, start, end - start + 1), OUTER, "")
-    return F.when(first.isNotNull(), F.concat(F.when(start > 1, F.lit("…")).otherwise(F.lit("")), cut, F.when(end < F.char_length(text), F.lit("…")).otherwise(F.lit(""))))
+
+    def around_first(found: Column) -> Column:
+        start = F.greatest(F.lit(1), found["at"] - around)
+        end = F.least(found["size"], found["at"] + F.char_length(found["term"]) - 1 + around)
+        cut = F.regexp_replace(F.substring(text, start, end - start + 1), OUTER, "")
+        return F.when(found["at"] > 0, F.concat(F.when(start > 1, F.lit("…")).otherwise(F.lit("")), cut, F.when(end < found["size"], F.lit("…")).otherwise(F.lit(""))))
+
+    def placed(low: Column) -> Column:
+        first = F.get(F.filter(terms, lambda t: F.contains(low, t)), F.lit(0))
+        return let(first, lambda term: let(F.struct(F.call_function("instr", low, term).alias("at"), F.char_length(text).alias("size"), term.alias("term")), around_first))
+
+    return let(F.lower(text), placed)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used; within a lambda an expression is computed at each call."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def redact_url(url: Column) -> Column:

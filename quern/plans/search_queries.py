@@ -61,8 +61,7 @@ def _results(spark: SparkSession, sf_dir: str, keyword: DataFrame) -> DataFrame:
     texts = table(spark, sf_dir, "fts").where("body_l2 <> ''").dropDuplicates(["id"]).select("id", "title", F.col("body_l2").alias("content"), F.coalesce("body_l3", F.lit("")).alias("full"))
     terms = _asked(spark, sf_dir).select("query_id", tx.tokens(F.col("text")).alias("terms"))
     named = fused.join(current_sections(table(spark, sf_dir, "sections")), "id").join(texts, "id").join(terms, "query_id", "left")
-    low = F.lower("content")
-    looked = (F.col("mode") != "semantic") & ~F.exists("terms", lambda t: F.instr(low, t) > 0)
+    looked = (F.col("mode") != "semantic") & ~tx.let(F.lower("content"), lambda low: F.exists("terms", lambda t: F.contains(low, t)))
     shown = named.withColumn("snippet", F.when(looked, tx.snippet(F.col("full"), F.col("terms"))))
     size = tx.token_estimate(F.col("content")) + tx.token_estimate(F.col("snippet"))
     return s.within_budget(shown, size, BUDGET)
